@@ -1,4 +1,338 @@
-"""Queries over the driver's tables, with their SQL."""
+"""Queries over the driver's tables, one or more per operator, with their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Documents are taken as stored documents: fields _id, lang, source and text, segments of
+100 documents, four shards.
+"""
+
+from __future__ import annotations
+
+import json
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trigrove.functions.pattern import compile_pattern
+from trigrove.functions.preview import literal_preview, span_preview, truncated
+from trigrove.functions.text import flatten_fields, gram_rows, normalized
+from trigrove.operators import index, search
+from trigrove.sources import documents
+from trigrove.sources.manifest import parse_manifest
+from trigrove.streaming.ingest import Ingestor
+
+PATHS = ("_id", "lang", "source", "text")
+_N = "strip_accents(lower({}))"
+_TEXT = _N.format("text")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    s = F.floor(F.col("doc_id") / 100)
+    return df.withColumns({"segment": F.concat(F.lit("seg-"), s.cast("string")), "shard": s % 4, "gen": s % 4 + 1, "ord": F.floor(s / 4).cast("int")})
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents.from_table(_placed(_table(spark, sf_dir, "documents")), {"_id": "doc_id", "lang": "lang", "source": "source", "text": "text"})
+    return d.select("shard", "gen", "segment", "ord", (F.col("doc_id") % 100).cast("int").alias("doc_id"), "ext_id", "fields")
+
+
+#: The stored documents in SQL: gid is the table's doc_id.
+_D = f"""d AS (SELECT doc_id AS gid, CAST(doc_id AS VARCHAR) AS ext_id, {_N.format("lang")} AS lang, {_N.format("source")} AS source, {_TEXT} AS text,
+    'seg-' || CAST(doc_id // 100 AS VARCHAR) AS segment, (doc_id // 100) % 4 AS shard, (doc_id // 100) % 4 + 1 AS gen, CAST((doc_id // 100) // 4 AS INTEGER) AS ord, CAST(doc_id % 100 AS INTEGER) AS doc_id FROM documents)"""
+_ORDER = "shard, gen DESC, ord, doc_id"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# scalar functions
+
+
+@_query("normalize_text", f"SELECT doc_id, {_TEXT} AS text FROM documents")
+def _(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", normalized("text").alias("text"))
+
+
+def _matching(wildcard: str, table: str, key: list[str], value: str) -> Callable:
+    p = compile_pattern(wildcard)
+    return lambda spark, sf: _table(spark, sf, table).where(p.matches(normalized(value))).select(*key)
+
+
+for _name, _wild, _like in (
+    ("wildcard_contains", "*ention*", "%ention%"),
+    ("wildcard_multi", "*ent*rie*", "%ent%rie%"),
+    ("wildcard_qmark", "e?ti*the", "%e_ti%the%"),
+    ("wildcard_unanchored", "Thé", "%the%"),
+    ("wildcard_literal_signs", "%%%", "%\\%\\%\\%%"),
+):
+    _query(_name, f"SELECT doc_id FROM documents WHERE {_TEXT} LIKE '{_like}' ESCAPE '\\'")(_matching(_wild, "documents", ["doc_id"], "text"))
+_query("conversation_search", f"SELECT conv_id, turn, role FROM conversations WHERE {_TEXT} LIKE '%quel%ent%'")(_matching("quel*ent", "conversations", ["conv_id", "turn", "role"], "text"))
+_query("page_html_search", f"SELECT page_id, url FROM pages WHERE {_N.format('html')} LIKE '%<h1>%tion%</h1>%'")(_matching("<h1>*tion*</h1>", "pages", ["page_id", "url"], "html"))
+
+
+@_query("required_grams", "SELECT * FROM (VALUES ('ent'), ('nti'), ('tio'), ('rie'), ('res')) AS t(gram)")
+def _(spark, sf):
+    return spark.createDataFrame([(g,) for g in compile_pattern("*Entió*?*rieRES*").grams if g not in ("ier", "ere")], "gram string")
+
+
+_GRAMS = f"SELECT DISTINCT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT doc_id, {_TEXT} AS t FROM documents) WHERE length(t) >= 3)"
+
+
+def _text_grams(spark, sf):
+    return gram_rows(_table(spark, sf, "documents").select("doc_id", normalized("text").alias("t")), "t", ["doc_id"])
+
+
+@_query("trigram_postings", _GRAMS)
+def _(spark, sf):
+    return _text_grams(spark, sf)
+
+
+@_query("gram_document_frequency", f"SELECT gram, count(*) AS n_docs FROM ({_GRAMS}) GROUP BY gram")
+def _(spark, sf):
+    # gram_rows gives each trigram once per document
+    return _text_grams(spark, sf).groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@_query("flatten_json_strings", """
+    SELECT conv_id, turn, 'body.text' AS path, strip_accents(lower(text)) AS value FROM conversations
+    UNION ALL SELECT conv_id, turn, 'body.role[0]', strip_accents(lower(role)) FROM conversations""")
+def _(spark, sf):
+    c = _table(spark, sf, "conversations")
+    j = F.to_json(F.struct(F.col("conv_id").alias("id"), F.struct(F.col("text"), F.array("role").alias("role")).alias("body")))
+    return c.select("conv_id", "turn", flatten_fields(j).alias("f")).select("conv_id", "turn", F.explode("f").alias("path", "value"))
+
+
+# prefilter, fields and verification
+
+
+def _index(spark, sf):
+    d = stored(spark, sf)
+    return index.postings(d), index.field_masks(d)
+
+
+def _has(gram: str) -> str:
+    return "(" + " OR ".join(f"{c} LIKE '%{gram}%'" for c in ("ext_id", "lang", "source", "text")) + ")"
+
+
+_PICK = ["ent", "rie"]
+for _mode, _cond in (("and", " AND ".join(map(_has, _PICK))), ("or", " OR ".join(map(_has, _PICK))), ("not", "NOT (" + " OR ".join(map(_has, _PICK)) + ")")):
+    _query(f"prefilter_{_mode}", f"WITH {_D} SELECT segment, doc_id FROM d WHERE {_cond}")(lambda spark, sf, m=_mode: index.prefilter(*_index(spark, sf), _PICK, m))
+    _query(f"prefilter_scan_{_mode}", f"WITH {_D} SELECT segment, doc_id FROM d WHERE {_cond}")(
+        lambda spark, sf, m=_mode: search.candidates(stored(spark, sf), compile_pattern("ent*rie"), search.SearchOptions(paths=PATHS), m).select("segment", "doc_id")
+    )
+
+
+@_query("field_mask", f"WITH {_D} SELECT segment, doc_id FROM d WHERE ({_has('src')}) AND lang IS NOT NULL")
+def _(spark, sf):
+    return index.prefilter(*_index(spark, sf), ["src"], "and", "lang")
+
+
+@_query("field_unknown_empty", f"WITH {_D} SELECT segment, doc_id FROM d WHERE false")
+def _(spark, sf):
+    return search.candidates(stored(spark, sf), compile_pattern("ent"), search.SearchOptions(field="no.such.field")).select("segment", "doc_id")
+
+
+_FIRST = "CASE WHEN ext_id LIKE '%{0}%' THEN '_id' WHEN lang LIKE '%{0}%' THEN 'lang' WHEN source LIKE '%{0}%' THEN 'source' WHEN text LIKE '%{0}%' THEN 'text' END"
+
+
+@_query("any_field_first_match", f"WITH {_D} SELECT segment, doc_id, {_FIRST.format('src')} AS matched_field FROM d WHERE {_FIRST.format('src')} IS NOT NULL")
+def _(spark, sf):
+    p = compile_pattern("src")
+    d = stored(spark, sf)
+    return d.select("segment", "doc_id", search.matched_field(F.col("fields"), p, paths=PATHS).alias("matched_field")).where("matched_field IS NOT NULL")
+
+
+@_query("hits_by_field", f"WITH {_D} SELECT matched_field, count(*) AS hits FROM (SELECT {_FIRST.format('111')} AS matched_field FROM d) WHERE matched_field IS NOT NULL GROUP BY matched_field")
+def _(spark, sf):
+    return search.stats(stored(spark, sf), "*111*", search.SearchOptions(paths=PATHS)).where("matched_field IS NOT NULL").select("matched_field", "hits")
+
+
+@_query("verify_precision", f"WITH {_D} SELECT count(*) AS candidates, count(CASE WHEN text LIKE '%ent%rie%' OR lang LIKE '%ent%rie%' OR source LIKE '%ent%rie%' OR ext_id LIKE '%ent%rie%' THEN 1 END) AS hits FROM d WHERE {_has('ent')} AND {_has('rie')}")
+def _(spark, sf):
+    return search.stats(stored(spark, sf), "*ent*rie*", search.SearchOptions(paths=PATHS)).where("matched_field IS NULL").select("candidates", "hits")
+
+
+# previews
+
+
+
+@_query("preview_truncate", f"SELECT doc_id, CASE WHEN length({_TEXT}) > 180 THEN substr({_TEXT}, 1, 180) || '…' ELSE {_TEXT} END AS preview FROM documents")
+def _(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", normalized("text").alias("t")).select("doc_id", truncated(F.col("t")).alias("preview"))
+
+
+@_query("preview_literal", f"""
+    WITH a AS (SELECT doc_id, {_TEXT} AS t FROM documents), b AS (SELECT doc_id, t, strpos(t, 'ention') AS pos FROM a WHERE t LIKE '%ention%'),
+    c AS (SELECT doc_id, t, pos, greatest(1, pos - 86) AS lo, least(length(t), pos + 5 + 86) AS hi FROM b),
+    e AS (SELECT doc_id, CASE WHEN lo > 1 THEN '…' ELSE '' END || substr(t, lo, pos - lo) || '[ention]' || substr(t, pos + 6, hi - pos - 5) || CASE WHEN hi < length(t) THEN '…' ELSE '' END AS s FROM c)
+    SELECT doc_id, CASE WHEN length(s) > 184 THEN substr(s, 1, 184) || '…' ELSE s END AS preview FROM e""")
+def _(spark, sf):
+    t = _table(spark, sf, "documents").select("doc_id", normalized("text").alias("t")).where(F.col("t").contains("ention"))
+    return t.select("doc_id", literal_preview(F.col("t"), "ention").alias("preview"))
+
+
+@_query("preview_span", f"""
+    WITH a AS (SELECT doc_id, '[' || {_TEXT} || ']' AS s FROM documents WHERE {_TEXT} LIKE '%ention%')
+    SELECT doc_id, CASE WHEN length(s) > 184 THEN substr(s, 1, 184) || '…' ELSE s END AS preview FROM a""")
+def _(spark, sf):
+    p = compile_pattern("*ention*")
+    t = _table(spark, sf, "documents").select("doc_id", normalized("text").alias("t")).where(p.matches(F.col("t")))
+    return t.select("doc_id", span_preview(F.col("t"), p).alias("preview"))
+
+
+# hits, pages, dedup
+
+_HIT = "shard, gen, ord, segment, doc_id, ext_id, matched_field"
+_HITS = f"h AS (SELECT shard, gen, ord, segment, doc_id, ext_id, 'text' AS matched_field, gid, text FROM d WHERE text LIKE '%ention%')"
+
+
+def _hits(spark, sf, **options):
+    o = search.SearchOptions(**({"field": "text", "max_candidates": None, "segment_hits": None, "preview_mode": "plain"} | options))
+    return search.search(stored(spark, sf), "*ention*", o)
+
+
+@_query("search_all_hits", f"WITH {_D}, {_HITS} SELECT {_HIT}, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '…' ELSE text END AS preview FROM h")
+def _(spark, sf):
+    return _hits(spark, sf)
+
+
+@_query("search_page", f"WITH {_D}, {_HITS} SELECT {_HIT} FROM h ORDER BY {_ORDER} LIMIT 20")
+def _(spark, sf):
+    return search.page(search.dedup(_hits(spark, sf)), 20).drop("preview")
+
+
+@_query("cursor_page2", f"WITH {_D}, {_HITS} SELECT {_HIT} FROM h WHERE NOT (segment = 'seg-0' AND doc_id <= 40) AND NOT (segment = 'seg-4' AND doc_id <= 7) ORDER BY {_ORDER} LIMIT 20")
+def _(spark, sf):
+    return search.page(search.dedup(_hits(spark, sf)), 20, {"seg-0": 40, "seg-4": 7}).drop("preview")
+
+
+@_query("next_cursor", f"""
+    WITH {_D}, {_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS n FROM h)
+    SELECT segment, CAST(max(doc_id) AS BIGINT) AS last_docid FROM r WHERE n <= 20 GROUP BY segment""")
+def _(spark, sf):
+    ranked = search.dedup(_hits(spark, sf))
+    return search.next_cursor(ranked, search.page(ranked, 20))
+
+
+@_query("max_candidates", f"""
+    WITH {_D}, c AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY doc_id) AS n FROM d
+        WHERE {" AND ".join(_has(g) for g in ("ent", "nti", "tio", "ion"))})
+    SELECT {_HIT} FROM (SELECT *, 'text' AS matched_field FROM c WHERE n <= 10 AND text LIKE '%ention%')""")
+def _(spark, sf):
+    return _hits(spark, sf, max_candidates=10, paths=PATHS).drop("preview")
+
+
+@_query("segment_hit_cap", f"WITH {_D}, {_HITS} SELECT {_HIT} FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY doc_id) AS n FROM h) WHERE n <= 3")
+def _(spark, sf):
+    return _hits(spark, sf, segment_hits=3).drop("preview")
+
+
+_DUP = f"r AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY {_ORDER}) AS rank FROM h)"
+
+
+def _by_content(spark, sf):
+    d = stored(spark, sf).withColumn("ext_id", F.md5(F.col("fields")["text"]))
+    return search.dedup(search.search(d, "*ention*", search.SearchOptions(field="text", max_candidates=None, segment_hits=None, preview_mode="plain")))
+
+
+@_query("dedup_first_wins", f"WITH {_D}, {_HITS}, {_DUP} SELECT segment, doc_id, md5(text) AS ext_id FROM r WHERE rank = 1")
+def _(spark, sf):
+    return _by_content(spark, sf).where("rank = 1").select("segment", "doc_id", "ext_id")
+
+
+@_query("dedup_dropped", f"WITH {_D}, {_HITS}, {_DUP} SELECT count(CASE WHEN rank > 1 THEN 1 END) AS dedup_dropped FROM r")
+def _(spark, sf):
+    return _by_content(spark, sf).agg(F.count(F.when(F.col("rank") > 1, 1)).alias("dedup_dropped"))
+
+
+# manifest
+
+
+def _manifest(text: str):
+    parsed = parse_manifest(text)
+    return [(s, g, i, p) for s, gens in parsed.items() for g, segments in gens.items() for i, p in enumerate(segments)]
+
+
+_FLAT = json.dumps({"shards": {"0": 1, "2": 3}, "segments": {"0:1": ["seg-0"], "2:3": ["seg-2", "seg-6"], "2:2": ["seg-2"]}})
+
+
+def _of_manifest(spark, sf, shards, pinned=None):
+    newest = {0: 1, 2: 3} | (pinned or {})
+    rows = [r for r in _manifest(_FLAT) if r[0] in shards and newest.get(r[0]) == r[1]]
+    m = spark.createDataFrame([(p,) for _, _, _, p in rows], "segment string")
+    return _hits(spark, sf).join(F.broadcast(m), "segment", "left_semi").select("segment", "doc_id")
+
+
+@_query("manifest_current", f"WITH {_D}, {_HITS} SELECT segment, doc_id FROM h WHERE segment IN ('seg-0', 'seg-2', 'seg-6')")
+def _(spark, sf):
+    return _of_manifest(spark, sf, [0, 2])
+
+
+@_query("manifest_pinned", f"WITH {_D}, {_HITS} SELECT segment, doc_id FROM h WHERE segment IN ('seg-0', 'seg-2')")
+def _(spark, sf):
+    return _of_manifest(spark, sf, [0, 2, 9], {2: 2})
+
+
+@_query("search_by_shard", f"WITH {_D}, {_HITS} SELECT segment, doc_id FROM h WHERE shard = 2")
+def _(spark, sf):
+    return search.search(stored(spark, sf).where("shard = 2"), "*ention*", search.SearchOptions(field="text", max_candidates=None, segment_hits=None, preview_mode="plain")).select("segment", "doc_id")
+
+
+# hot documents, segments and ingest
+
+
+@_query("hot_union", f"""
+    WITH {_D}, {_HITS} SELECT ext_id, CASE WHEN shard = 3 THEN '__hot__' ELSE segment END AS segment FROM h""")
+def _(spark, sf):
+    d = stored(spark, sf)
+    hot = d.where("shard = 3").withColumns({"segment": F.lit("__hot__"), "shard": F.lit(2**62).cast("long")})
+    return search.search(d.where("shard <> 3").unionByName(hot), "*ention*", search.SearchOptions(field="text", max_candidates=None, segment_hits=None, preview_mode="plain")).select("ext_id", "segment")
+
+
+@_query("hot_cap", "SELECT conv_id, turn FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 100")
+def _(spark, sf):
+    return _table(spark, sf, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(100).select("conv_id", "turn")
+
+
+def _scratch(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trigrove-")
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+@_query("segment_roundtrip", f"WITH {_D} SELECT CAST(gid AS INTEGER) AS doc_id, ext_id, text FROM d WHERE text LIKE '%ention%'")
+def _(spark, sf):
+    path = f"{_scratch(spark)}/segment"
+    d = documents.from_table(_table(spark, sf, "documents"), {"_id": "doc_id", "lang": "lang", "source": "source", "text": "text"})
+    d = d.withColumn("fields", F.map_concat("fields", F.create_map(F.lit("gid"), F.col("doc_id").cast("string"))))
+    documents.write_segment(d, path, ["doc_id"])
+    out = documents.open_segments(spark, [(0, 1, 0, path)])
+    p = compile_pattern("*ention*")
+    return out.where(p.matches(F.col("fields")["text"])).select(F.col("fields")["gid"].cast("int").alias("doc_id"), "ext_id", F.col("fields")["text"].alias("text"))
+
+
+@_query("ingest_stream", f"SELECT CAST(item_id AS VARCHAR) AS ext_id, {_TEXT} AS body FROM benchmark")
+def _(spark, sf):
+    ingestor = Ingestor(spark, _scratch(spark))
+    rows = _table(spark, sf, "benchmark").select("item_id", "text").orderBy("item_id").toLocalIterator()
+    docs = [{"_id": str(r.item_id), "text": {"body": r.text}} for r in rows]
+    for k in range(0, len(docs), 25):
+        ingestor.submit(docs[k : k + 25], key=f"batch-{k}")
+        ingestor.submit(docs[k : k + 25], key=f"batch-{k}")
+    ingestor.drain()
+    found, _ = ingestor.manifest.resolve()
+    return documents.open_segments(spark, found).select("ext_id", F.col("fields")["text.body"].alias("body"))
