@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, computed now and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow over all columns, whatever their names; ``run`` sees and gives them by position."""
+    names = schema.names
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(named, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from trigrove.llm.common import col
+from trigrove.llm.common import col, map_rows
 
 
 @dataclass(frozen=True)
@@ -35,10 +35,10 @@ class CompressionRules:
     out of theirs. Documents under the first band's length are kept."""
 
     bands: tuple[Band, ...] = (
-        Band(128, 0.92, 3.5),
-        Band(512, 1.05, 4.0),
-        Band(2048, 1.15, 5.0),
-        Band(16384, 1.25, 6.0),
+        Band(128, 0.95, 3.5),
+        Band(512, 1.2, 4.0),
+        Band(2048, 1.4, 5.0),
+        Band(16384, 1.5, 6.0),
     )
     chunk_bytes: int = 4096
     min_chunk_bytes: int = 512
@@ -112,4 +112,4 @@ def keep_compressible(docs: DataFrame, rules: CompressionRules | None = None, te
             mask = np.array([v == "keep" for v in _score(b, at, rules)["verdict"]], bool)
             yield b.filter(pa.array(mask))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

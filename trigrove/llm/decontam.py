@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.llm import kernels
-from trigrove.llm.common import col
+from trigrove.llm.common import col, map_rows
 
 
 @dataclass(frozen=True)
@@ -182,16 +182,16 @@ class Index:
             _, h, q = self.items[k]
             grams, answer = self.grams[k], self.answers[k]
             near = max(2 * rules.half, len(h))
-            got = (0, 0, 0.0)
-            for score, i in hits:
+            got = (0, 0)
+            for _, i in hits:
                 a = int(w.splits[r] + (i - half_at[r]) * rules.half)
                 lo, hi = max(int(w.splits[r]), a - near), min(int(w.splits[r + 1]), a + 2 * rules.half + near)
                 text = w.hashes[lo:hi]
                 q_hits = int(np.isin(grams, kernels.ngrams(text, min(rules.gram, max(1, q)))).sum()) if len(grams) else 0
                 a_hits = int(np.isin(answer, text).sum())
-                got = max(got, (q_hits, a_hits, score))
+                got = max(got, (q_hits, a_hits))
             if got[0] >= rules.question * len(grams) and got[1] >= rules.answer * len(answer):
-                best.append((r, k, got[2], got[0], got[1]))
+                best.append((r, k, max(score for score, _ in hits), *got))
         return best
 
 
@@ -292,5 +292,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules | Non
                         keep[w.rows[0] + r] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run, docs.schema)
     return docs

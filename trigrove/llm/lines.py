@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.llm import kernels
-from trigrove.llm.common import col
+from trigrove.llm.common import col, map_rows
 
 
 def encode_runs(keep: np.ndarray) -> str:
@@ -161,4 +161,4 @@ def drop_repeated_lines(docs: DataFrame, bitmaps: DataFrame, min_chars: int = 20
                 cols[chars] = pa.array([o if k is None or t is None else len(t) for t, k, o in zip(texts, keeps, old)], cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay))
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_rows(joined, run, docs.schema)
