@@ -53,13 +53,15 @@ class DecontamRules:
 def split_item(text: str, min_answer: int) -> tuple[np.ndarray, int]:
     """The hashes of an item's words, and the number of those that are the question.
 
-    A sentence ends with one of . ? ! followed by space; the answer is the last one.
+    A sentence ends with one of . ? ! followed by space; the answer is the last one. If that leaves
+    less than three words for a question, the answer is the last ``min_answer`` words, or half of the item if that is less.
     """
     h = next(kernels.words(pa.array([text], pa.string()))).hashes
     body = text.rstrip()
     cut = max((body.rfind(m) for m in (". ", "? ", "! ", ".\n", "?\n", "!\n")), default=-1)
     last = len(next(kernels.words(pa.array([body[cut + 1 :] if cut >= 0 else ""], pa.string()))).hashes)
-    n = min(len(h), max(last, min(min_answer, len(h) // 2), 1 if len(h) > 1 else 0))
+    short = max(min(min_answer, len(h) // 2), 1 if len(h) > 1 else 0)
+    n = short if len(h) - last < 3 else max(last, short)
     return h, len(h) - n
 
 

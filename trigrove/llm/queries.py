@@ -71,7 +71,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_compression_bands, op5_chat_format, op6_near_duplicates, op7_packing, op8_token_rollup, op9_warc_captures, op10_line_dedup)
 }
 
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _secret_sql() -> str:
+    """Runs of each class by regular expressions, all their windows, and the entropy of each from the counts of its characters."""
+    kinds, found = [], []
+    allow = "|".join(f"(?:{p})" for p in secrets.ALLOWED).replace("'", "''")
+    for k, c in enumerate(secrets.CLASSES):
+        chars = "".join("\\" + x if x in "-/+" else x for x in c.chars)
+        rx = f"[{chars}]{{{c.window},}}"
+        kinds.append(f"SELECT doc_id, text, {k} AS k, '{c.name}' AS char_class, {c.window} AS w, CAST({c.bits} AS DOUBLE) AS bits, regexp_extract_all(text, '{rx}') AS rs, regexp_split_to_array(text, '{rx}') AS gaps FROM documents WHERE regexp_matches(text, '{rx}')")
+        before = " AND ".join(f"NOT EXISTS (SELECT 1 FROM f{j} WHERE f{j}.doc_id = g.doc_id AND f{j}.start < g.start + g.length AND g.start < f{j}.start + f{j}.length)" for j in range(k)) or "true"
+        found.append(f"f{k} AS (SELECT g.* FROM good g WHERE g.k = {k} AND {before})")
+    return f"""
+        WITH c AS ({" UNION ALL ".join(kinds)}),
+        r AS (SELECT doc_id, k, char_class, w, bits, unnest(rs) AS run, unnest(range(len(rs))) AS i FROM c),
+        s AS (SELECT doc_id, k, unnest(range(len(rs))) AS i, unnest([length(array_to_string(list_slice(gaps, 1, j + 1), '')) + length(array_to_string(list_slice(rs, 1, j), '')) for j in range(len(rs))]) AS start FROM c),
+        w AS (SELECT doc_id, k, i, w, run, unnest(range(length(run) - w + 1)) AS j FROM r),
+        x AS (SELECT doc_id, k, i, w, j, unnest(string_split(substr(run, CAST(j AS INTEGER) + 1, w), '')) AS ch FROM w),
+        n AS (SELECT doc_id, k, i, w, j, ch, count(*) AS m FROM x GROUP BY ALL),
+        h AS (SELECT doc_id, k, i, j, log2(w) - sum(m * log2(m)) / w AS h FROM n GROUP BY doc_id, k, i, w, j),
+        t AS (SELECT doc_id, k, i, max(h) AS h FROM h GROUP BY doc_id, k, i),
+        good AS (SELECT r.doc_id, r.k, r.char_class, CAST(s.start AS INTEGER) AS start, CAST(length(run) AS INTEGER) AS length, CAST(floor(h * 1000 + 0.5 + 1e-6) AS INTEGER) AS millibits, substr(run, 1, 4) || '...' AS preview
+            FROM r JOIN t ON r.doc_id = t.doc_id AND r.k = t.k AND r.i = t.i JOIN s ON r.doc_id = s.doc_id AND r.k = s.k AND r.i = s.i
+            WHERE h >= bits - 1e-9 AND NOT regexp_full_match(run, '{allow}')),
+        {", ".join(found)}
+        SELECT doc_id, char_class, start, length, millibits, preview FROM ({" UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(len(secrets.CLASSES)))})"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    # the overlap rule over all pairs, without an index
+    "op1_decontamination": f"""
+        WITH b AS (SELECT item_id, text, {_WORDS.format("text")} AS ws, len({_WORDS.format("regexp_extract(rtrim(text, ' ' || chr(10)), '(?s)^(?:.*[.?!][ ' || chr(10) || '])?(.*)$', 1)")}) AS last FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        p AS (SELECT item_id, ws, len(ws) - greatest(CASE WHEN len(ws) - last < 3 THEN 0 ELSE last END, least(5, len(ws) // 2), CASE WHEN len(ws) > 1 THEN 1 ELSE 0 END) AS q FROM b WHERE len(ws) > 0),
+        ig AS (SELECT DISTINCT item_id, ws[CAST(i AS INTEGER)] || ' ' || ws[CAST(i AS INTEGER) + 1] || ' ' || ws[CAST(i AS INTEGER) + 2] AS g FROM (SELECT item_id, ws, unnest(range(1, q - 1)) AS i FROM p WHERE q >= 3)),
+        ia AS (SELECT DISTINCT item_id, unnest(list_slice(ws, q + 1, len(ws))) AS a FROM p),
+        gs AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id), "as" AS (SELECT item_id, count(*) AS n FROM ia GROUP BY item_id),
+        d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, ws[CAST(i AS INTEGER)] || ' ' || ws[CAST(i AS INTEGER) + 1] || ' ' || ws[CAST(i AS INTEGER) + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+        dw AS (SELECT DISTINCT doc_id, unnest(ws) AS a FROM d),
+        qh AS (SELECT doc_id, item_id, count(*) AS n FROM ig JOIN dg USING (g) GROUP BY doc_id, item_id),
+        near AS (SELECT qh.doc_id, qh.item_id, qh.n, gs.n AS total FROM qh JOIN gs USING (item_id) WHERE qh.n >= 0.5 * gs.n),
+        ah AS (SELECT near.doc_id, near.item_id, near.n, near.total, count(dw.a) AS m FROM near JOIN ia USING (item_id) LEFT JOIN dw ON dw.doc_id = near.doc_id AND dw.a = ia.a GROUP BY ALL)
+        SELECT ah.doc_id, ah.item_id, CAST(ah.n AS INTEGER) AS question_hits, CAST(ah.total AS INTEGER) AS question_grams, CAST(m AS INTEGER) AS answer_hits, CAST("as".n AS INTEGER) AS answer_words
+        FROM ah JOIN "as" USING (item_id) WHERE m >= 0.5 * "as".n""",
+    "op2_secret_scan": _secret_sql(),
+    # all pairs by their shared shingles; the search is approximate, its recall at these documents is 1
+    "op6_near_duplicates": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 3 THEN ws[CAST(i AS INTEGER)] || ' ' || ws[CAST(i AS INTEGER) + 1] || ' ' || ws[CAST(i AS INTEGER) + 2] ELSE array_to_string(ws, ' ') END AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+        s AS (SELECT doc_id, count(*) AS size, md5(string_agg(g, '|' ORDER BY g)) AS h FROM g GROUP BY doc_id),
+        f AS (SELECT *, min(doc_id) OVER (PARTITION BY h, size) AS rep FROM s),
+        u AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN f p ON p.doc_id = x.doc_id AND p.rep = p.doc_id JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id JOIN f q ON q.doc_id = y.doc_id AND q.rep = q.doc_id GROUP BY x.doc_id, y.doc_id)
+        SELECT CASE WHEN p.size <= q.size THEN a ELSE b END AS doc_a, CASE WHEN p.size <= q.size THEN b ELSE a END AS doc_b, CAST(shared AS INTEGER) AS shared, CAST(least(p.size, q.size) AS INTEGER) AS size_a, CAST(greatest(p.size, q.size) AS INTEGER) AS size_b
+        FROM u JOIN f p ON p.doc_id = a JOIN f q ON q.doc_id = b WHERE shared >= 0.7 * least(p.size, q.size) - 1e-9 AND greatest(p.size, q.size) <= 2 * least(p.size, q.size)
+        UNION ALL SELECT rep, doc_id, CAST(size AS INTEGER), CAST(size AS INTEGER), CAST(size AS INTEGER) FROM f WHERE rep <> doc_id""",
     "op5_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,

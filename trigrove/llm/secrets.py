@@ -136,13 +136,14 @@ def find_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allo
             if not len(begin):
                 continue
             bits = window_entropy(sym, begin, end - begin, c.window, len(c.chars))
-            for b, z, h in zip(begin[bits >= c.bits], end[bits >= c.bits], bits[bits >= c.bits]):
+            enough = bits >= c.bits - 1e-9  # counts that change step by step leave a rounding error
+            for b, z, h in zip(begin[enough], end[enough], bits[enough]):
                 lo, hi = int(at[b]), int(at[z - 1]) + 1
                 if allow.fullmatch(data[lo:hi].tobytes().decode("ascii")):
                     continue
                 if any(x < hi and lo < y for x, y in covered):
                     continue
-                found.append((int(np.searchsorted(begins, lo, side="right")) - 1, k, lo, hi - lo, int(np.floor(h * 1000 + 0.5))))
+                found.append((int(np.searchsorted(begins, lo, side="right")) - 1, k, lo, hi - lo, int(np.floor(h * 1000 + 0.5 + 1e-6))))
             covered = [(x[2], x[2] + x[3]) for x in found]
         return found
 
