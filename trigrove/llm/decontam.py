@@ -43,7 +43,7 @@ class DecontamRules:
     b: float = 0.75
     threshold: float = 0.5
     gram: int = 3
-    question: float = 0.5
+    question: float = 0.4
     answer: float = 0.5
     min_answer: int = 5
     block: int = 4

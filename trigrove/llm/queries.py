@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
         dg AS (SELECT DISTINCT doc_id, ws[CAST(i AS INTEGER)] || ' ' || ws[CAST(i AS INTEGER) + 1] || ' ' || ws[CAST(i AS INTEGER) + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
         dw AS (SELECT DISTINCT doc_id, unnest(ws) AS a FROM d),
         qh AS (SELECT doc_id, item_id, count(*) AS n FROM ig JOIN dg USING (g) GROUP BY doc_id, item_id),
-        near AS (SELECT qh.doc_id, qh.item_id, qh.n, gs.n AS total FROM qh JOIN gs USING (item_id) WHERE qh.n >= 0.5 * gs.n),
+        near AS (SELECT qh.doc_id, qh.item_id, qh.n, gs.n AS total FROM qh JOIN gs USING (item_id) WHERE qh.n >= 0.4 * gs.n),
         ah AS (SELECT near.doc_id, near.item_id, near.n, near.total, count(dw.a) AS m FROM near JOIN ia USING (item_id) LEFT JOIN dw ON dw.doc_id = near.doc_id AND dw.a = ia.a GROUP BY ALL)
         SELECT ah.doc_id, ah.item_id, CAST(ah.n AS INTEGER) AS question_hits, CAST(ah.total AS INTEGER) AS question_grams, CAST(m AS INTEGER) AS answer_hits, CAST("as".n AS INTEGER) AS answer_words
         FROM ah JOIN "as" USING (item_id) WHERE m >= 0.5 * "as".n""",
