@@ -55,6 +55,9 @@ def test_index_form_equals_scan_form(spark, tmp_path):
     assert index.prefilter(posts, masks, ["игр"], "and", "nope").count() == 0
     assert index.prefilter(posts, masks, ["zzz", "игр"]).count() == 0
     assert index.prefilter(posts, masks, []).count() == 3
+    index.write_postings(posts, f"{tmp_path}/postings", 3)
+    kept = spark.read.parquet(f"{tmp_path}/postings")
+    assert {r.doc_id for r in index.prefilter(kept, masks, ["игр", "ает"]).collect()} == {0, 1}
     assert index.document_frequency(posts).where("gram = 'игр'").first().n_docs == 2
 
 

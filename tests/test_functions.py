@@ -85,3 +85,11 @@ def test_gram_rows(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
     got = sorted((r.i, r.gram) for r in gram_rows(df, "t", ["i"]).collect())
     assert got == sorted((i, g) for i, t in enumerate(texts) for g in set(trigrams(t or "")))
+
+
+def test_sql_functions(spark):
+    from trigrove.functions.text import register
+
+    register(spark)
+    row = spark.sql("""SELECT normalize_text('Éa') AS n, flatten_json('{"a": {"b": "Ж"}}') AS f""").first()
+    assert (row.n, row.f) == ("ea", {"a.b": "ж"})

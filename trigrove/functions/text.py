@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,7 +121,7 @@ def gram_rows(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, text).mapInArrow(run, schema)
 
 
-def register(spark) -> None:
+def register(spark: SparkSession) -> None:
     """normalize_text and flatten_json as SQL functions."""
     spark.udf.register("normalize_text", _normalize_other)
     spark.udf.register("flatten_json", flatten_fields)

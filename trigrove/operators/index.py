@@ -43,3 +43,8 @@ def prefilter(index: DataFrame, masks: DataFrame, grams: list[str], mode: str =
     if field:
         found = found.join(masks.where(F.col("path") == field), ["segment", "doc_id"], "left_semi")
     return found
+
+
+def write_postings(index: DataFrame, path: str, partitions: int) -> None:
+    """Postings in order of trigram, so that row-group statistics let a look-up read only what holds its trigrams."""
+    index.repartitionByRange(partitions, "gram").sortWithinPartitions("gram", "segment", "doc_id").write.mode("errorifexists").parquet(path)

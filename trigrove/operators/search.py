@@ -109,11 +109,10 @@ def search(docs: DataFrame, wildcard: str, options: SearchOptions | None = None)
 
 def dedup(hits: DataFrame) -> DataFrame:
     """Hits with ``rank``: 1 is the first of its external id in the order of hits. Hits without an id are all first."""
-    rank = F.row_number().over(Window.partitionBy("ext_id").orderBy(*order_columns()))
     named = F.coalesce(F.col("ext_id"), F.lit("")) != ""
-    # rows without an id must not meet in one window partition: they are set apart
-    first = hits.where(named).withColumn("rank", rank)
-    return first.unionByName(hits.where(~named).withColumn("rank", F.lit(1)))
+    # hits without an id must not meet in one window partition: each is one of its own
+    alone = F.when(~named, F.concat_ws(":", "segment", F.col("doc_id").cast("string")))
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("ext_id", alone).orderBy(*order_columns())))
 
 
 def page(ranked: DataFrame, size: int, cursor: dict[str, int] | None = None) -> DataFrame:

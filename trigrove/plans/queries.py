@@ -260,6 +260,30 @@ def _(spark, sf):
     return _by_content(spark, sf).agg(F.count(F.when(F.col("rank") > 1, 1)).alias("dedup_dropped"))
 
 
+@_query("search_offset", f"WITH {_D}, {_HITS} SELECT {_HIT} FROM h ORDER BY {_ORDER} LIMIT 15 OFFSET 25")
+def _(spark, sf):
+    return _hits(spark, sf).orderBy(*search.order_columns()).offset(25).limit(15).drop("preview")
+
+
+@_query("metric_totals", f"""
+    WITH {_D}, {_HITS}, {_DUP}, s AS (SELECT segment, count(*) AS hits, count(CASE WHEN rank > 1 THEN 1 END) AS dropped FROM r GROUP BY segment)
+    SELECT count(*) AS segments, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(dropped) AS BIGINT) AS dedup_dropped FROM s""")
+def _(spark, sf):
+    per = _by_content(spark, sf).groupBy("segment").agg(F.count(F.lit(1)).alias("hits"), F.count(F.when(F.col("rank") > 1, 1)).alias("dropped"))
+    return per.agg(F.count(F.lit(1)).alias("segments"), F.sum("hits").alias("hits"), F.sum("dropped").alias("dedup_dropped"))
+
+
+@_query("checksums", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def _(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
+
+
+@_query("get_docs", f"WITH {_D} SELECT segment, doc_id, ext_id, text FROM d WHERE (segment = 'seg-1' AND doc_id IN (3, 99)) OR (segment = 'seg-7' AND doc_id = 0)")
+def _(spark, sf):
+    found = documents.get_docs(stored(spark, sf), [("seg-1", 3), ("seg-1", 99), ("seg-7", 0), ("seg-7", 1000)])
+    return found.select("segment", "doc_id", "ext_id", F.col("fields")["text"].alias("text"))
+
+
 # manifest
 
 
