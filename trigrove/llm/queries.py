@@ -22,7 +22,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+    # first_doc and first_word tell paths apart; the hash that names one is left out
+    return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("path")
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +118,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT ah.doc_id, ah.item_id, CAST(ah.n AS INTEGER) AS question_hits, CAST(ah.total AS INTEGER) AS question_grams, CAST(m AS INTEGER) AS answer_hits, CAST("as".n AS INTEGER) AS answer_words
         FROM ah JOIN "as" USING (item_id) WHERE m >= 0.5 * "as".n""",
     "op2_secret_scan": _secret_sql(),
+    # every run of 50 words, and the links between those that repeat
+    "op3_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS pos FROM w WHERE len(ws) >= 50),
+        k AS (SELECT doc_id, pos, md5(array_to_string(list_slice(ws, pos, pos + 49), ' ')) AS h FROM p),
+        c AS (SELECT *, count(*) OVER (PARTITION BY h) AS copies FROM k),
+        l AS (SELECT *, CASE WHEN lead(pos) OVER d = pos + 1 THEN lead(h) OVER d END AS nxt, lead(copies) OVER d AS next_copies FROM c WHERE copies > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        s AS (SELECT *, nxt IS NOT NULL AND next_copies = copies AND count(*) OVER (PARTITION BY h, nxt) = copies AS single FROM l),
+        e AS (SELECT *, CASE WHEN coalesce(lag(single) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 0 ELSE 1 END AS head FROM s),
+        g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chain FROM e),
+        r AS (SELECT doc_id, min(pos) - 1 AS start, count(*) + 49 AS n, min(copies) AS copies, min(CASE WHEN head = 1 THEN h END) AS h FROM g GROUP BY doc_id, chain),
+        f AS (SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(start) OVER o AS first_start FROM r WINDOW o AS (PARTITION BY h ORDER BY doc_id, start))
+        SELECT doc_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, copies, first_doc, CAST(first_start AS INTEGER) AS first_word, doc_id = first_doc AND start = first_start AS is_first FROM f""",
     # all pairs by their shared shingles; the search is approximate, its recall at these documents is 1
     "op6_near_duplicates": f"""
         WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
