@@ -126,27 +126,32 @@ def assemble_captures(records: DataFrame) -> DataFrame:
         # only records that no response is linked to go on, through records of another kind
         far = links.join(found.select(F.col("record_id").alias("a")).distinct(), "a", "left_anti").join(responses.withColumnRenamed("record_id", "a"), "a", "left_anti")
         found = found.unionByName(far.join(found.withColumnRenamed("record_id", "b"), "b").select(F.col("a").alias("record_id"), "capture")).distinct()
-    owners = found.join(responses, "record_id", "left_anti").unionByName(responses.select("record_id", F.col("record_id").alias("capture")))
+    owners = found.join(responses, "record_id", "left_anti").where("record_id <> capture")
     part = F.struct("payload", "record_id", "type", "date", "target_uri", "content_type", "headers")
-    one = r.select("record_id", part.alias("part"))
-    # equal ids: the least payload; maps have no order, so the choice is by payload and id alone
-    whole = owners.join(one, "record_id").groupBy("capture", "record_id").agg(F.min_by("part", F.struct("part.payload", "part.type", "part.date", "part.target_uri", "part.content_type")).alias("part"))
+
+    def single(rows: DataFrame, *keys: str) -> DataFrame:
+        # equal ids: the least payload; maps have no order, so the choice is by the other columns
+        return rows.groupBy(*keys).agg(F.min_by("part", F.struct("part.payload", "part.type", "part.date", "part.target_uri", "part.content_type")).alias("part"))
+
+    # a response's id is its capture's, so its payload, which is most of the bytes, is shuffled by it once and stays there
+    main = single(r.where("type = 'response'").select("record_id", part.alias("part")), "record_id").withColumnRenamed("record_id", "capture")
+    rest = r.where("type <> 'response'").select("record_id", part.alias("part")).join(owners, "record_id")
     slim = F.struct(F.col("part.record_id"), F.col("part.date"), F.col("part.target_uri"), F.col("part.content_type"), F.col("part.headers"), F.col("part.payload"))
-    got = whole.groupBy("capture").agg(
-        F.max(F.when(F.col("part.type") == "response", F.struct(F.col("part.date"), F.col("part.target_uri"), F.col("part.content_type"), F.col("part.payload")))).alias("res"),
-        F.first(F.when(F.col("part.type") == "response", F.col("part.headers")), ignorenulls=True).alias("res_headers"),
-        F.collect_list(F.when(F.col("part.type") == "request", slim)).alias("req"),
-        F.collect_list(F.when(F.col("part.type") == "metadata", slim)).alias("met"),
+    others = (
+        single(rest, "capture", "record_id")
+        .groupBy("capture")
+        .agg(F.collect_list(F.when(F.col("part.type") == "request", slim)).alias("req"), F.collect_list(F.when(F.col("part.type") == "metadata", slim)).alias("met"))
     )
+    got = main.join(others.hint("merge"), "capture", "left").withColumns({n: F.coalesce(n, F.array().cast(others.schema[n].dataType)) for n in ("req", "met")})
 
     def ordered(name: str) -> F.Column:
         return F.array_sort(name, lambda x, y: F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0))
 
-    return got.where("res IS NOT NULL").select(
+    return got.select(
         F.col("capture").alias("capture_id"),
-        F.col("res.target_uri").alias("target_uri"),
-        F.col("res.date").alias("date"),
-        F.struct(F.col("res.content_type").alias("content_type"), F.col("res_headers").alias("headers"), F.col("res.payload").alias("payload")).alias("response"),
+        F.col("part.target_uri").alias("target_uri"),
+        F.col("part.date").alias("date"),
+        F.struct(F.col("part.content_type").alias("content_type"), F.col("part.headers").alias("headers"), F.col("part.payload").alias("payload")).alias("response"),
         ordered("req").alias("requests"),
         ordered("met").alias("metadata"),
     )
