@@ -124,8 +124,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", t
                 text.append(encode_runs(keep))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_kept, pa.int32()), pa.array(text, pa.string())], names=["doc_id", "n_lines", "n_kept", "keep_runs"])
 
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    lines = d.mapInArrow(hashes, "h long, doc_id long, pos int").repartitionByRange(int(n), "h").sortWithinPartitions("h", "doc_id", "pos")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # hashes are uniform, so n equal ranges of them need no sampling, which would read all documents once more
+    part = F.shiftright((F.shiftright("h", 32) + F.lit(1 << 31)) * F.lit(n).cast("long"), 32).cast("int")
+    lines = d.mapInArrow(hashes, "h long, doc_id long, pos int").repartitionById(n, part).sortWithinPartitions("h", "doc_id", "pos")
     kept = lines.mapInArrow(firsts, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))
     size = d.mapInArrow(sizes, "doc_id long, n_lines int, judged array<int>").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.array_distinct(F.flatten(F.collect_list("judged"))).alias("judged"))
     return size.join(kept, "doc_id", "left").select("doc_id", "n_lines", "judged", "kept").mapInArrow(bitmaps, "doc_id long, n_lines int, n_kept int, keep_runs string")
