@@ -19,7 +19,7 @@ _TABLE = 0x20000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Code points that one slice of a batch may hold; longer texts form a slice of their own.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
