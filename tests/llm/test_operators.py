@@ -114,6 +114,18 @@ def test_decontamination(spark, rng):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_a_leak_is_found_beside_a_passage_without_the_answer(spark, rng):
+    own = [f"{a}{b}" for a in "bri dro fle gno".split() for b in "kap lop mip nup sep tup".split()]
+    question, answer = " ".join(rng.sample(own, 20)), "zur zev zim zoy zak"
+    other = question.split()
+    other[10] = "other"
+    text = question + " " + prose(rng, 600) + " " + " ".join(other) + ". " + answer
+    bench = spark.createDataFrame([(1, question + ". " + answer)], "item_id long, text string")
+    (r,) = decontam.find_leaks(table(spark, [(1, text)]), bench).collect()
+    assert (r.question_hits, r.question_grams, r.answer_hits, r.answer_words) == (15, 18, 5, 5)
+    assert decontam.drop_leaks(table(spark, [(1, text)]), bench).count() == 0
+
+
 def test_block_max_wand_equals_full_scoring(rng):
     rules = decontam.DecontamRules(threshold=0.2)
     items = []

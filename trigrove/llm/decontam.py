@@ -184,16 +184,17 @@ class Index:
             _, h, q = self.items[k]
             grams, answer = self.grams[k], self.answers[k]
             near = max(2 * rules.half, len(h))
-            got = (0, 0)
+            passed = []  # a passage must meet both limits by itself; one with more of the question may lack the answer
             for _, i in hits:
                 a = int(w.splits[r] + (i - half_at[r]) * rules.half)
                 lo, hi = max(int(w.splits[r]), a - near), min(int(w.splits[r + 1]), a + 2 * rules.half + near)
                 text = w.hashes[lo:hi]
                 q_hits = int(np.isin(grams, kernels.ngrams(text, min(rules.gram, max(1, q)))).sum()) if len(grams) else 0
                 a_hits = int(np.isin(answer, text).sum())
-                got = max(got, (q_hits, a_hits))
-            if got[0] >= rules.question * len(grams) and got[1] >= rules.answer * len(answer):
-                best.append((r, k, max(score for score, _ in hits), *got))
+                if q_hits >= rules.question * len(grams) and a_hits >= rules.answer * len(answer):
+                    passed.append((q_hits, a_hits))
+            if passed:
+                best.append((r, k, max(score for score, _ in hits), *max(passed)))
         return best
 
 
@@ -244,7 +245,8 @@ _OUT = "doc_id long, item_id long, score double, question_hits int, question_gra
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, score (of the best
-    passage, as a share of the segment's self-score), question_hits of question_grams, answer_hits of answer_words.
+    passage, as a share of the segment's self-score), question_hits of question_grams, answer_hits of answer_words
+    (of the passage with the most hits among those that meet both limits).
 
     Words are compared in lower case without punctuation. Items and documents that are null or
     have no word, and items with a null id, match nothing; a document's null id stays null. Items that
