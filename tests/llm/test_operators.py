@@ -323,6 +323,26 @@ def test_near_duplicates(spark, rng):
     assert containment.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_any_ratio(spark, rng):
+    rules = containment.ContainmentRules(max_ratio=math.inf)
+    rows = messy(rng) + [(8, prose(rng, 40))]
+    shared = prose(rng, 12)
+    for k in range(30):
+        w = prose(rng, rng.randint(3, 80)).split()
+        rows.append((100 + k, " ".join(w)))
+        w[len(w) // 2] = "edited"
+        rows.append((200 + k, " ".join([prose(rng, len(w) * (k % 9)), *w, shared, prose(rng, len(w) * 2)])))
+    want, sets = brute_near([r for r in rows if r[0] != 8], rules)
+    far = {p for p in want if max(len(sets[i]) for i in p) > 2 * min(len(sets[i]) for i in p)}
+    got = containment.near_duplicates(table(spark, rows), rules).collect()
+    pairs = {(min(r.doc_a, r.doc_b), max(r.doc_a, r.doc_b)) for r in got}
+    assert len(pairs) == len(got) and len(far) > 20
+    assert {p for p in pairs if 8 not in p} <= want
+    copies = {i for i in sets if any(j < i and sets[j] == sets[i] for j in sets)}
+    assert {p for p in far if not copies & set(p)} <= pairs
+    assert all(r.size_a <= r.size_b and r.shared == len(sets[r.doc_a] & sets[r.doc_b]) for r in got if 8 not in (r.doc_a, r.doc_b))
+
+
 def test_bandings_reach_their_recall():
     rules = containment.ContainmentRules()
     for d, (r, b) in enumerate(rules.bandings()):
