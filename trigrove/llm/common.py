@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,12 +21,13 @@ def col(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="trigrove-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine: its own folder is shared by all there is
+        folder = f"file://{tempfile.mkdtemp(prefix='trigrove-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -39,6 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a sieve: 4,096 bitmaps of 4 KB each, whatever the input.
+SIEVE_BITS = 1 << 27
+
+
+def _place(id_col: Column) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(SIEVE_BITS))
+
+
+def sifted(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id may be in the one column of ``ids``, all those that are among them; nulls go.
+
+    A Bloom filter of SIEVE_BITS bits is joined on by broadcast, at most 16 MB however many the ids
+    are. It spares a join that follows the shuffle of rows that it would drop; with very many ids more rows pass.
+    """
+    (name,) = ids.columns
+    at = _place(col(name))
+    maps = ids.where(col(name).isNotNull()).groupBy(F.shiftright(at, 15).alias("__bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("__bits"))
+    here = _place(col(id_col))
+    found = df.join(F.broadcast(maps), F.shiftright(here, 15) == F.col("__bucket")).withColumn("__at", here.bitwiseAND(F.lit(32767)).cast("int"))
+    byte = "cast(conv(hex(substr(__bits, shiftright(__at, 3) + 1, 1)), 16, 10) AS int)"
+    return found.where(f"shiftright({byte}, __at & 7) & 1 = 1").drop("__bucket", "__bits", "__at")
+
+
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """mapInArrow over all columns, whatever their names; ``run`` sees and gives them by position."""
     names = schema.names

@@ -8,7 +8,7 @@ alphanumeric code points, compared in lower case. Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 _TABLE = 0x20000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-#: Code points that one slice of a batch may hold; longer texts form a slice of their own.
+#: Code points that one slice of a batch may hold; longer texts form a slice of their own, which is worked on in pieces of about this size.
 SLICE_CHARS = 1 << 20
 
 
@@ -48,17 +48,26 @@ def _values() -> np.ndarray:
     return out
 
 
-_POWERS: dict[str, np.ndarray] = {}
+@lru_cache(maxsize=1)
+def _power_table() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _BASE_INV):
+        a = np.full(SLICE_CHARS + 4096, base, np.uint64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a))
+    return out[0], out[1]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["p"]) < n:
-        n = max(n, SLICE_CHARS + 4096)
-        for name, base in (("p", _BASE), ("q", _BASE_INV)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["p"], _POWERS["q"]
+    """Powers of the base and of its inverse; those of one slice are kept, longer ones are made for the call."""
+    if n <= SLICE_CHARS + 4096:
+        return _power_table()
+    out = []
+    for base in (_BASE, _BASE_INV):
+        a = np.full(n, base, np.uint64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a))
+    return out[0], out[1]
 
 
 class Words(NamedTuple):
@@ -97,28 +106,57 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return cps, np.concatenate(([0], np.cumsum(lengths)))
 
 
+def cuts(text: str, at: Callable[[str], bool], size: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of a text of about ``size`` characters each; but for the last, each ends after a character of which ``at`` holds."""
+    lo = 0
+    while lo < len(text):
+        hi = min(len(text), lo + size)
+        while hi < len(text) and not at(text[hi - 1]):
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def _hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's begin (one more at the end)."""
+    values = _values()
+    cps, begins = code_points(texts)
+    n = len(cps)
+    p, q = _powers(n + 1)
+    if n and int(cps.max()) >= _TABLE:
+        v = np.where(cps < _TABLE, values[np.minimum(cps, _TABLE - 1)], mix64(cps))
+    else:
+        v = values[cps]
+    is_word = v != 0
+    edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
+    if n and is_word[0]:
+        edge = np.concatenate(([0], edge))
+    s, e = edge[0::2], edge[1::2]  # a line feed ends the last word
+    v *= p[:n]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(v, out=total[1:])
+    return mix64((total[e] - total[s]) * q[s]), np.searchsorted(s, begins).astype(np.int64)
+
+
 def words(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
-    """Hashes of all words of a string column, slice by slice."""
+    """Hashes of all words of a string column, slice by slice. A long text's words are made piece by piece, so only their hashes are held whole."""
     texts = column.to_pylist()
-    values = _values()
     for lo, hi in slices(texts):
-        cps, begins = code_points(texts[lo:hi])
-        n = len(cps)
-        p, q = _powers(n + 1)
-        if n and int(cps.max()) >= _TABLE:
-            v = np.where(cps < _TABLE, values[np.minimum(cps, _TABLE - 1)], mix64(cps))
-        else:
-            v = values[cps]
-        is_word = v != 0
-        edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-        if n and is_word[0]:
-            edge = np.concatenate(([0], edge))
-        s, e = edge[0::2], edge[1::2]  # a line feed ends the last word
-        v *= p[:n]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(v, out=total[1:])
-        h = mix64((total[e] - total[s]) * q[s])
-        yield Words((lo, hi), h, np.searchsorted(s, begins).astype(np.int64))
+        text = texts[lo]
+        if hi == lo + 1 and text and len(text) > SLICE_CHARS:
+            parts = [_hash_words([text[a:z]])[0] for a, z in cuts(text, lambda c: ord(c) < _TABLE and not c.isalnum())]
+            h = np.concatenate(parts)
+            yield Words((lo, hi), h, np.array([0, len(h)], np.int64))
+            continue
+        yield Words((lo, hi), *_hash_words(texts[lo:hi]))
+
+
+def spans(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of runs of entries of ``h``, one for each start and length; no run may be empty."""
+    p, q = _powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * p[: len(h)], out=total[1:])
+    return mix64((total[starts + lengths] - total[starts]) * q[starts] + lengths.astype(np.uint64))
 
 
 def ngrams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -126,6 +164,8 @@ def ngrams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if n > SLICE_CHARS:
+        return np.concatenate([ngrams(h[a : min(n, a + SLICE_CHARS) + k - 1], k, seed) for a in range(0, n, SLICE_CHARS)])
     p, q = _powers(len(h) + 1)
     x = mix64(h + np.uint64(seed)) if seed else h
     total = np.zeros(len(h) + 1, np.uint64)

@@ -37,7 +37,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containment.near_duplicates(table(spark, sf_dir, "documents"))
+    return containment.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,17 +131,23 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id, min(pos) - 1 AS start, count(*) + 49 AS n, min(copies) AS copies, min(CASE WHEN head = 1 THEN h END) AS h FROM g GROUP BY doc_id, chain),
         f AS (SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(start) OVER o AS first_start FROM r WINDOW o AS (PARTITION BY h ORDER BY doc_id, start))
         SELECT doc_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, copies, first_doc, CAST(first_start AS INTEGER) AS first_word, doc_id = first_doc AND start = first_start AS is_first FROM f""",
-    # all pairs by their shared shingles; the search is approximate, its recall at these documents is 1
+    # all links by their shared shingles; the search is approximate, it finds all of them in these documents
     "op6_near_duplicates": f"""
-        WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 3 THEN ws[CAST(i AS INTEGER)] || ' ' || ws[CAST(i AS INTEGER) + 1] || ' ' || ws[CAST(i AS INTEGER) + 2] ELSE array_to_string(ws, ' ') END AS g
             FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
         s AS (SELECT doc_id, count(*) AS size, md5(string_agg(g, '|' ORDER BY g)) AS h FROM g GROUP BY doc_id),
-        f AS (SELECT *, min(doc_id) OVER (PARTITION BY h, size) AS rep FROM s),
-        u AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN f p ON p.doc_id = x.doc_id AND p.rep = p.doc_id JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id JOIN f q ON q.doc_id = y.doc_id AND q.rep = q.doc_id GROUP BY x.doc_id, y.doc_id)
-        SELECT CASE WHEN p.size <= q.size THEN a ELSE b END AS doc_a, CASE WHEN p.size <= q.size THEN b ELSE a END AS doc_b, CAST(shared AS INTEGER) AS shared, CAST(least(p.size, q.size) AS INTEGER) AS size_a, CAST(greatest(p.size, q.size) AS INTEGER) AS size_b
-        FROM u JOIN f p ON p.doc_id = a JOIN f q ON q.doc_id = b WHERE shared >= 0.7 * least(p.size, q.size) - 1e-9 AND greatest(p.size, q.size) <= 2 * least(p.size, q.size)
-        UNION ALL SELECT rep, doc_id, CAST(size AS INTEGER), CAST(size AS INTEGER), CAST(size AS INTEGER) FROM f WHERE rep <> doc_id""",
+        f AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY h) AS rep, count(*) OVER (PARTITION BY h) AS n_copies FROM s),
+        r AS (SELECT * FROM f WHERE doc_id = rep),
+        rg AS (SELECT g.doc_id, g.g FROM g JOIN r ON r.doc_id = g.doc_id),
+        u AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM rg x JOIN rg y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+        l AS (SELECT a, b, p.size AS size_a, q.size AS size_b FROM u JOIN r p ON p.doc_id = a JOIN r q ON q.doc_id = b WHERE shared >= 0.7 * least(p.size, q.size) - 1e-9),
+        n AS (SELECT a, count(*) AS n_links, count(CASE WHEN size_b > 2 * size_a THEN 1 END) AS n_holders FROM l GROUP BY a),
+        e AS (SELECT a, b FROM l WHERE greatest(size_a, size_b) <= 2 * least(size_a, size_b)),
+        c(doc_id, label) AS (SELECT doc_id, doc_id FROM r UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.doc_id),
+        k AS (SELECT doc_id, min(label) AS label FROM c GROUP BY doc_id)
+        SELECT f.doc_id, k.label AS class_id, f.n_copies, coalesce(n.n_links, 0) AS n_links, coalesce(n.n_holders, 0) AS n_holders
+        FROM f JOIN k ON k.doc_id = f.rep LEFT JOIN n ON n.a = f.rep WHERE f.n_copies > 1 OR n.n_links > 0""",
     "op5_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
