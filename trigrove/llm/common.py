@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: like ``cut``, for rows that compress well."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bits of a sieve: 4,096 bitmaps of 4 KB each, whatever the input.
 SIEVE_BITS = 1 << 27
 
@@ -71,3 +80,33 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
             yield pa.RecordBatch.from_arrays(b.columns, names=names)
 
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(named, schema)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that hold whole runs of the first column, which is in order, and where the runs begin (one more at the end)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def take(final: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = whole.column(0).to_numpy(zero_copy_only=False)
+        n = len(key) if final else int(np.searchsorted(key, key[-1]))
+        return whole.slice(0, n), whole.slice(n) if n < len(key) else None
+
+    def edges(x: pa.RecordBatch) -> np.ndarray:
+        key = x.column(0).to_numpy(zero_copy_only=False)
+        return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+            if size > rows:
+                ready, rest = take(False)
+                held = [rest] if rest is not None else []
+                size, rows = sum(x.num_rows for x in held), max(rows, 2 * sum(x.num_rows for x in held))
+                if ready.num_rows:
+                    yield ready, edges(ready)
+    if held:
+        ready, _ = take(True)
+        yield ready, edges(ready)

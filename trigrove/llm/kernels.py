@@ -33,8 +33,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _values() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _values(seed: int = 0) -> np.ndarray:
     """A random value for each alphanumeric code point, 0 for all others; both cases share a value."""
     lower = np.zeros(_TABLE, np.uint64)
     for c in range(_TABLE):
@@ -42,7 +42,7 @@ def _values() -> np.ndarray:
         if s.isalnum():
             low = s.lower()
             lower[c] = ord(low[0]) if len(low) == 1 else c
-    out = mix64(lower * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019))
+    out = mix64(lower * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019 + seed))
     out[out == 0] = 1
     out[lower == 0] = 0
     return out
@@ -117,14 +117,14 @@ def cuts(text: str, at: Callable[[str], bool], size: int = SLICE_CHARS) -> Itera
         lo = hi
 
 
-def _hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(texts: list[str | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each text's begin (one more at the end)."""
-    values = _values()
+    values = _values(seed)
     cps, begins = code_points(texts)
     n = len(cps)
     p, q = _powers(n + 1)
     if n and int(cps.max()) >= _TABLE:
-        v = np.where(cps < _TABLE, values[np.minimum(cps, _TABLE - 1)], mix64(cps))
+        v = np.where(cps < _TABLE, values[np.minimum(cps, _TABLE - 1)], mix64(cps.astype(np.uint64) + np.uint64(seed)))
     else:
         v = values[cps]
     is_word = v != 0
@@ -138,17 +138,17 @@ def _hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mix64((total[e] - total[s]) * q[s]), np.searchsorted(s, begins).astype(np.int64)
 
 
-def words(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
-    """Hashes of all words of a string column, slice by slice. A long text's words are made piece by piece, so only their hashes are held whole."""
+def words(column: pa.Array | pa.ChunkedArray, seed: int = 0) -> Iterator[Words]:
+    """Hashes of all words of a string column, slice by slice; another seed gives hashes that share no collision. A long text's words are made piece by piece, so only their hashes are held whole."""
     texts = column.to_pylist()
     for lo, hi in slices(texts):
         text = texts[lo]
         if hi == lo + 1 and text and len(text) > SLICE_CHARS:
-            parts = [_hash_words([text[a:z]])[0] for a, z in cuts(text, lambda c: ord(c) < _TABLE and not c.isalnum())]
+            parts = [_hash_words([text[a:z]], seed)[0] for a, z in cuts(text, lambda c: ord(c) < _TABLE and not c.isalnum())]
             h = np.concatenate(parts)
             yield Words((lo, hi), h, np.array([0, len(h)], np.int64))
             continue
-        yield Words((lo, hi), *_hash_words(texts[lo:hi]))
+        yield Words((lo, hi), *_hash_words(texts[lo:hi], seed))
 
 
 def spans(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -1,17 +1,21 @@
 """Long repeated spans by a compacted de Bruijn graph of word k-mers.
 
 Every k-mer of words is an edge. K-mers are routed in runs by their minimizer, so
-equal ones meet in one partition while few rows are shuffled. Those that occur twice or
-more are the repeated edges. A link between two edges that follow one another does not branch when
-both occur equally often and each occurrence of the one goes on to the other. Chains within
-a minimizer's run are compacted where they are found, into pieces; pieces are joined to whole
-paths through Spark joins on their links. Last, the words at the source coordinates of each
-path are compared, by a hash of other make, with those of its first occurrence.
+equal ones meet in one partition. Minimizers are counted first: runs of one that occurs once hold no
+repeated k-mer and stay where they are. K-mers that occur twice or more are the repeated edges. A link
+between two edges that follow one another does not branch when both occur equally often and each
+occurrence of the one goes on to the other. Chains within a minimizer's run are compacted where they are
+found, into pieces; pieces are joined to whole paths through Spark joins on their links. Last, the
+words at the source coordinates of each path are read again and compared, by hashes of another make.
+
+A minimizer that would fill a partition by itself isn't gathered: its k-mers are counted by
+an aggregation that begins where they are, and each repeated one is a piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,64 +23,117 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigrove.llm import kernels
-from trigrove.llm.common import col, cut
+from trigrove.llm.common import by_key, col, cut, kept, sifted
 
 #: Words of the shorter n-grams of which the least is a k-mer's minimizer.
-MINIMIZER = 16
+MINIMIZER = 8
+#: Occurrences from which a minimizer may count as one that fills a partition.
+HOT = 50_000
+_SIEVE_BITS = 27
+
+
+class _Runs(NamedTuple):
+    """K-mers of a slice in runs of equal minimizers: of each run the minimizer, row, first word and number of k-mers."""
+
+    kmers: np.ndarray
+    mz: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
 
 
-def _runs_by_minimizer(docs: DataFrame, k: int) -> DataFrame:
-    """mz, doc_id, start (word at which the run's first k-mer begins) and hashes (32 bits of each k-mer)."""
+def _runs(w: kernels.Words, k: int) -> _Runs | None:
+    g = kernels.ngrams(w.hashes, k)
+    ends = w.ends()[: len(g)]
+    at = np.flatnonzero(np.arange(len(g)) + k <= ends)
+    if not len(at):
+        return None
     m = min(MINIMIZER, k)
+    mz = kernels.window_min(kernels.ngrams(w.hashes, m, seed=7), k - m + 1)[at]
+    row = w.row_of()[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (mz[1:] != mz[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    return _Runs(g[at], mz[head], row[head], at[head] - w.splits[row[head]], np.diff(np.concatenate((head, [len(at)]))))
+
+
+def _minimizers(docs: DataFrame, k: int) -> DataFrame:
+    """mz and n, the number of runs that have it, of those that occur more than once or in a run that repeats a k-mer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for w in kernels.words(b.column(0)):
+                r = _runs(w, k)
+                if r is not None:
+                    order = np.argsort(r.kmers, kind="stable")
+                    twice = order[1:][r.kmers[order[1:]] == r.kmers[order[:-1]]]
+                    found += [r.mz, r.mz[np.unique(np.searchsorted(np.cumsum(r.n), twice, side="right"))]]
+            if found:
+                mz, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(mz.view(np.int64)), pa.array(n)], names=["mz", "n"])
+
+    return docs.select("text").mapInArrow(run, "mz long, n long").groupBy("mz").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def _sieve(counts: DataFrame) -> np.ndarray:
+    """A bit for each minimizer that occurs more than once, by its top bits: of bounded size, with very many of them more pass."""
+    at = F.shiftrightunsigned("mz", 64 - _SIEVE_BITS)
+    parts = counts.groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
+    out = np.zeros((1 << _SIEVE_BITS) // 8, np.uint8)
+    for part, x in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
+        out[part * 4096 : part * 4096 + len(x)] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def _routed(docs: DataFrame, k: int, sieve, hot: np.ndarray) -> DataFrame:
+    """mz, doc_id, start (word at which the run's first k-mer begins) and kmers of the runs that may hold repeated ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for w in kernels.words(b.column(1)):
-                g = kernels.ngrams(w.hashes, k)
-                if not len(g):
-                    continue
-                mz = kernels.window_min(kernels.ngrams(w.hashes, m, seed=7), k - m + 1)
-                row = w.row_of()[: len(g)]
-                ok = np.arange(len(g)) + k <= w.ends()[: len(g)]
-                at = np.flatnonzero(ok)
-                if not len(at):
+                r = _runs(w, k)
+                if r is None:
                     continue
-                new = np.ones(len(at), bool)
-                new[1:] = (mz[at][1:] != mz[at][:-1]) | (row[at][1:] != row[at][:-1])
-                first = at[new]
-                n = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
-                blob = kernels.binary((g[at] >> np.uint64(16)).astype(np.uint32), n)
+                pos = r.mz >> np.uint64(64 - _SIEVE_BITS)
+                keep = (bits[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep &= ~np.isin(r.mz, hot)
+                some = np.flatnonzero(keep)
+                blob = kernels.binary(r.kmers[np.repeat(keep, r.n)], r.n[some])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mz[first].view(np.int64)), pa.array(ids[w.rows[0] + row[first]]), pa.array((first - w.splits[row[first]]).astype(np.int32)), blob],
-                    names=["mz", "doc_id", "start", "hashes"],
+                    [pa.array(r.mz[some].view(np.int64)), pa.array(ids[w.rows[0] + r.row[some]]), pa.array(r.start[some].astype(np.int32)), blob],
+                    names=["mz", "doc_id", "start", "kmers"],
                 )
 
-    return docs.mapInArrow(run, "mz long, doc_id long, start int, hashes binary")
+    return docs.mapInArrow(run, "mz long, doc_id long, start int, kmers binary")
+
+
+_PIECE = "piece long, doc_id long, start int, n int, copies int"
 
 
-def _pieces(runs: DataFrame) -> DataFrame:
-    """Occurrences of compacted repeated chains: piece, doc_id, start, n (k-mers), copies, first_doc, first_start."""
+def _pieces(routed: DataFrame) -> DataFrame:
+    """Occurrences of compacted repeated chains: piece, doc_id, start, n (k-mers) and copies."""
 
     def compact(x: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         mz, doc, start = (x.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         blobs = x.column(3)
         off = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-        n = np.diff(off) // 4
-        kmers = np.frombuffer(blobs.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint32)
+        n = np.diff(off) // 8
+        key = np.frombuffer(blobs.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64)
         # rows that repeat a doc_id bring the same coordinates again
         again = np.zeros(len(mz), bool)
         again[1:] = (mz[1:] == mz[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
         if again.any():
             keep = ~again
-            kmers = kmers[np.repeat(keep, n)]
+            key = key[np.repeat(keep, n)]
             mz, doc, start, n = mz[keep], doc[keep], start[keep], n[keep]
-        total = len(kmers)
+        total = len(key)
         if not total:
             return
         row = np.repeat(np.arange(len(mz)), n)
-        key = kernels.mix64(mz.view(np.uint64))[row] ^ (kmers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(key, kind="stable")  # rows are in order of document and position, so are equal keys
+        order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         new = np.ones(total, bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -85,7 +142,6 @@ def _pieces(runs: DataFrame) -> DataFrame:
         group = np.empty(total, np.int64)
         group[order] = np.cumsum(new) - 1
         copies = count[group]
-        first_of = order[at]
         # a chain goes on where all occurrences of an edge are followed, within the run, by the same edge, which has no others
         follow = np.full(total, -1, np.int64)
         inner = row[1:] == row[:-1]
@@ -104,88 +160,76 @@ def _pieces(runs: DataFrame) -> DataFrame:
         length = np.diff(np.concatenate((head, [len(used)])))
         k = used[head]
         within = k - np.repeat(np.cumsum(n) - n, n)[k]
-        f = first_of[group[k]]
-        f_within = f - np.repeat(np.cumsum(n) - n, n)[f]
         piece = kernels.mix64(key[k] + length.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(piece.view(np.int64)),
-                pa.array(doc[row[k]]),
-                pa.array((start[row[k]] + within).astype(np.int32)),
-                pa.array(length.astype(np.int32)),
-                pa.array(copies[k].astype(np.int64)),
-                pa.array(doc[row[f]]),
-                pa.array((start[row[f]] + f_within).astype(np.int32)),
-            ],
-            names=["piece", "doc_id", "start", "n", "copies", "first_doc", "first_start"],
+            [pa.array(piece.view(np.int64)), pa.array(doc[row[k]]), pa.array((start[row[k]] + within).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(copies[k].astype(np.int32))],
+            names=["piece", "doc_id", "start", "n", "copies"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for whole, _ in by_key(batches, 60_000):
+            yield from compact(whole)
 
-        def take(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            mz = whole.column(0).to_numpy(zero_copy_only=False)
-            n = len(mz) if final else int(np.searchsorted(mz, mz[-1]))
-            held = [whole.slice(n)] if n < len(mz) else []
-            if n:
-                yield from compact(whole.slice(0, n))
+    return routed.repartition("mz").sortWithinPartitions("mz", "doc_id", "start").mapInArrow(run, _PIECE)
 
+
+def _hot_pieces(docs: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
+    """The same of the k-mers of hot minimizers, each a piece by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                if sum(x.num_rows for x in held) >= 60_000:
-                    yield from take(False)
-        if held:
-            yield from take(True)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for w in kernels.words(b.column(1)):
+                r = _runs(w, k)
+                if r is None:
+                    continue
+                keep = np.isin(r.mz, hot)
+                n = r.n[keep]
+                row = np.repeat(r.row[keep], n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r.kmers[np.repeat(keep, r.n)].view(np.int64)), pa.array(ids[w.rows[0] + row]), pa.array(kernels.runs(r.start[keep], n).astype(np.int32))],
+                    names=["h", "doc_id", "start"],
+                )
 
-    routed = runs.repartition("mz").sortWithinPartitions("mz", "doc_id", "start")
-    return routed.mapInArrow(run, "piece long, doc_id long, start int, n int, copies long, first_doc long, first_start int")
+    rows = docs.mapInArrow(run, "h long, doc_id long, start int").distinct()
+    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1")
+    return rows.join(repeated, "h").select(F.xxhash64("h").alias("piece"), "doc_id", "start", F.lit(1).alias("n"), "copies")
 
 
 def _paths(pieces: DataFrame) -> DataFrame:
-    """Occurrences of whole nonbranching paths: path (its first piece), doc_id, start, n, copies, first_doc, first_start."""
+    """For each document its occurrences of whole nonbranching paths: doc_id and spans of path (its first piece), start and n."""
     by_doc = Window.partitionBy("doc_id").orderBy("start")
     p = pieces.withColumn("next_piece", F.lead("piece").over(by_doc)).withColumn("next_start", F.lead("start").over(by_doc)).withColumn("next_copies", F.lead("copies").over(by_doc))
     p = p.withColumn("next_piece", F.when((F.col("next_start") == F.col("start") + F.col("n")) & (F.col("next_copies") == F.col("copies")), F.col("next_piece"))).drop("next_start", "next_copies")
     links = p.where("next_piece IS NOT NULL").groupBy("piece", "next_piece").agg(F.count(F.lit(1)).alias("m"), F.first("copies").alias("c")).where("m = c").select("piece", "next_piece", F.lit(True).alias("single"))
-    q = p.join(links, ["piece", "next_piece"], "left")
+    q = p.drop("copies").join(links, ["piece", "next_piece"], "left")
     q = q.withColumn("head", ~F.coalesce(F.lag("single").over(by_doc), F.lit(False)))
     q = q.withColumn("chain", F.sum(F.col("head").cast("int")).over(by_doc))
-    first = F.min_by(F.struct("piece", "copies", "first_doc", "first_start"), "start")
-    g = q.groupBy("doc_id", "chain").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), first.alias("f"))
-    return g.select(F.col("f.piece").alias("path"), "doc_id", "start", "n", F.col("f.copies").alias("copies"), F.col("f.first_doc").alias("first_doc"), F.col("f.first_start").alias("first_start"))
+    g = q.groupBy("doc_id", "chain").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min_by("piece", "start").alias("path"))
+    return g.groupBy(F.col("doc_id").alias("sid")).agg(F.collect_list(F.struct("path", "start", "n")).alias("spans"))
 
 
-def _span_hashes(paths: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The paths with ``seen``, a hash of the words at their coordinates, read anew from the documents."""
+def _read_again(paths: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """path, n, seen (a hash of the words at the coordinates, read anew from the documents), doc_id and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = b.column(2)
-            for w in kernels.words(b.column(1)):
+            for w in kernels.words(b.column(1), seed=3):
                 lo, hi = w.rows
                 part = spans.slice(lo, hi - lo)
-                sizes = np.array([len(x) for x in part.to_pylist()], np.int64)
+                sizes = np.diff(part.offsets.to_numpy()) if len(part) else np.zeros(0, np.int64)
                 flat = part.flatten()
                 path, start, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 row = np.repeat(np.arange(hi - lo), sizes)
-                h = kernels.mix64(w.hashes * np.uint64(0xA24BAED4963EE407) + np.uint64(3))
-                p, q = kernels._powers(len(h) + 1)
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * p[: len(h)], out=total[1:])
                 a = w.splits[row] + start
-                z = a + n + k - 1
-                ok = z <= w.splits[row + 1]
-                a, z = a[ok], z[ok]
-                seen = kernels.mix64((total[z] - total[a]) * q[a])
+                ok = a + n + k - 1 <= w.splits[row + 1]
+                seen = kernels.spans(w.hashes, a[ok], n[ok].astype(np.int64) + k - 1)
                 doc = b.column(0).slice(lo, hi - lo).take(pa.array(row[ok]))
-                yield pa.RecordBatch.from_arrays([pa.array(path[ok]), doc, pa.array(start[ok]), pa.array(seen.view(np.int64))], names=["path", "doc_id", "start", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(path[ok]), pa.array(n[ok]), pa.array(seen.view(np.int64)), doc, pa.array(start[ok])], names=["path", "n", "seen", "doc_id", "start"])
 
-    spans = paths.groupBy("doc_id").agg(F.collect_list(F.struct("path", "start", "n")).alias("spans")).withColumnRenamed("doc_id", "sid")
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["sid"]).select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "path long, doc_id long, start int, seen long")
+    joined = sifted(docs, "doc_id", paths.select("sid")).join(paths.hint("shuffle_hash"), F.col("doc_id") == F.col("sid")).select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, "path long, n int, seen long, doc_id long, start int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,25 +240,35 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     all ``copies`` occurrences of a path (equal ``path``) hold the same ``n_words`` words, and the first one by
     doc_id and position is is_first. Where a longer repeat and a shorter one share
     words they are paths apart, which overlap by ``min_words`` - 1 words. Words are compared in lower case without punctuation.
+    K-mers are told apart by 64-bit hashes, the words of whole spans by a second hash of 64 bits; occurrences that
+    differ in it are paths apart, and copies counts those that agree in both.
 
     Null ids, and texts that are null or have fewer words, have no spans. Rows that repeat a doc_id are one
-    document: equal coordinates count once. Other columns are not read; an empty table gives no rows.
+    document: equal coordinates with equal words count once. Other columns are not read; an empty table gives no rows.
     """
     if min_words < 1:
         raise ValueError("min_words must be at least 1")
+    spark = docs.sparkSession
     d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    paths = cut(_paths(cut(_pieces(_runs_by_minimizer(d, min_words)))))
-    seen = _span_hashes(paths, d, min_words).distinct()
-    x = paths.join(seen, ["path", "doc_id", "start"])
-    first = x.where("doc_id = first_doc AND start = first_start").select("path", F.col("seen").alias("first_seen"))
-    good = x.join(first, "path").where("seen = first_seen")
+    counts = cut(_minimizers(d, min_words))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # at most four for each partition, so the list is short; what is left of any one fits a partition
+    most = max(HOT, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = np.array([r.mz for r in counts.where(F.col("n") > most).select("mz").collect()], np.int64).view(np.uint64)
+    pieces = _pieces(_routed(d, min_words, spark.sparkContext.broadcast(_sieve(counts)), hot))
+    if len(hot):
+        pieces = pieces.unionByName(_hot_pieces(d, min_words, hot))
+    paths = kept(_paths(kept(pieces)))
+    rows = _read_again(paths, d, min_words).distinct()
+    same = rows.groupBy("path", "n", "seen").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start")).alias("first")).where("copies > 1")
+    good = rows.join(same, ["path", "n", "seen"])
     return good.select(
         "doc_id",
         F.col("start").alias("start_word"),
         (F.col("n") + (min_words - 1)).alias("n_words"),
-        "path",
+        F.xxhash64("path", "n", "seen").alias("path"),
         "copies",
-        "first_doc",
-        F.col("first_start").alias("first_word"),
-        ((F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))).alias("is_first"),
+        F.col("first.doc_id").alias("first_doc"),
+        F.col("first.start").alias("first_word"),
+        ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("is_first"),
     )
