@@ -76,25 +76,27 @@ _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def _secret_sql() -> str:
-    """Runs of each class by regular expressions, all their windows, and the entropy of each from the counts of its characters."""
+    """Runs of each class by regular expressions, without leading words; all their windows, and the entropy of each from the counts of its characters."""
     kinds, found = [], []
     allow = "|".join(f"(?:{p})" for p in secrets.ALLOWED).replace("'", "''")
     for k, c in enumerate(secrets.CLASSES):
         chars = "".join("\\" + x if x in "-/+" else x for x in c.chars)
-        rx = f"[{chars}]{{{c.window},}}"
+        rx = f"[{chars}]{{{c.window},}}" + ("={0,2}" if c.pad else "")
         kinds.append(f"SELECT doc_id, text, {k} AS k, '{c.name}' AS char_class, {c.window} AS w, CAST({c.bits} AS DOUBLE) AS bits, regexp_extract_all(text, '{rx}') AS rs, regexp_split_to_array(text, '{rx}') AS gaps FROM documents WHERE regexp_matches(text, '{rx}')")
         before = " AND ".join(f"NOT EXISTS (SELECT 1 FROM f{j} WHERE f{j}.doc_id = g.doc_id AND f{j}.start < g.start + g.length AND g.start < f{j}.start + f{j}.length)" for j in range(k)) or "true"
         found.append(f"f{k} AS (SELECT g.* FROM good g WHERE g.k = {k} AND {before})")
     return f"""
         WITH c AS ({" UNION ALL ".join(kinds)}),
-        r AS (SELECT doc_id, k, char_class, w, bits, unnest(rs) AS run, unnest(range(len(rs))) AS i FROM c),
+        q AS (SELECT doc_id, k, char_class, w, bits, unnest(rs) AS whole, unnest(range(len(rs))) AS i FROM c),
+        l AS (SELECT *, length(regexp_extract(whole, '^{secrets.LEAD}')) AS lead FROM q),
+        r AS (SELECT *, substr(regexp_replace(whole, '=+$', ''), CAST(lead AS INTEGER) + 1) AS run FROM l WHERE length(regexp_replace(whole, '=+$', '')) - lead >= w),
         s AS (SELECT doc_id, k, unnest(range(len(rs))) AS i, unnest([length(array_to_string(list_slice(gaps, 1, j + 1), '')) + length(array_to_string(list_slice(rs, 1, j), '')) for j in range(len(rs))]) AS start FROM c),
         w AS (SELECT doc_id, k, i, w, run, unnest(range(length(run) - w + 1)) AS j FROM r),
         x AS (SELECT doc_id, k, i, w, j, unnest(string_split(substr(run, CAST(j AS INTEGER) + 1, w), '')) AS ch FROM w),
         n AS (SELECT doc_id, k, i, w, j, ch, count(*) AS m FROM x GROUP BY ALL),
         h AS (SELECT doc_id, k, i, j, log2(w) - sum(m * log2(m)) / w AS h FROM n GROUP BY doc_id, k, i, w, j),
         t AS (SELECT doc_id, k, i, max(h) AS h FROM h GROUP BY doc_id, k, i),
-        good AS (SELECT r.doc_id, r.k, r.char_class, CAST(s.start AS INTEGER) AS start, CAST(length(run) AS INTEGER) AS length, CAST(floor(h * 1000 + 0.5 + 1e-6) AS INTEGER) AS millibits, substr(run, 1, 4) || '...' AS preview
+        good AS (SELECT r.doc_id, r.k, r.char_class, CAST(s.start + lead AS INTEGER) AS start, CAST(length(whole) - lead AS INTEGER) AS length, CAST(floor(h * 1000 + 0.5 + 1e-6) AS INTEGER) AS millibits, substr(run, 1, 4) || '...' AS preview
             FROM r JOIN t ON r.doc_id = t.doc_id AND r.k = t.k AND r.i = t.i JOIN s ON r.doc_id = s.doc_id AND r.k = s.k AND r.i = s.i
             WHERE h >= bits - 1e-9 AND NOT regexp_full_match(run, '{allow}')),
         {", ".join(found)}
