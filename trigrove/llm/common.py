@@ -35,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def partitions(df: DataFrame, each: int = 64 << 20) -> int:
+    """The session's shuffle partitions, or more if what ``df`` reads has over ``each`` bytes for one."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # a plan whose size isn't known claims the greatest there is
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed now and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -44,12 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: like ``cut``, for rows that compress well."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a sieve: 4,096 bitmaps of 4 KB each, whatever the input.
-SIEVE_BITS = 1 << 27
+#: Bits of a sieve: 2,048 bitmaps of 4 KB each, whatever the input.
+SIEVE_BITS = 1 << 26
 
 
 def _place(id_col: Column) -> Column:
@@ -59,7 +67,7 @@ def _place(id_col: Column) -> Column:
 def sifted(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose id may be in the one column of ``ids``, all those that are among them; nulls go.
 
-    A Bloom filter of SIEVE_BITS bits is joined on by broadcast, at most 16 MB however many the ids
+    A Bloom filter of SIEVE_BITS bits is joined on by broadcast, at most 8 MB however many the ids
     are. It spares a join that follows the shuffle of rows that it would drop; with very many ids more rows pass.
     """
     (name,) = ids.columns
