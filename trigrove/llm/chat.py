@@ -41,6 +41,24 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d, o[:-1], np.diff(o)
 
 
+#: Contents of more bytes are copied as one slice; of shorter ones as many at once as have so many bytes in all.
+_LONG, _AT_ONCE = 1 << 14, 1 << 20
+
+
+def _scatter(out: np.ndarray, begins: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    """Copies each run of ``data`` to its place; index arrays are made for _AT_ONCE bytes at a time, so they stay small."""
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        out[begins[i] : begins[i] + lengths[i]] = data[starts[i] : starts[i] + lengths[i]]
+    short = np.flatnonzero((lengths > 0) & (lengths <= _LONG))
+    total = np.cumsum(lengths[short])
+    lo = 0
+    while lo < len(short):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _AT_ONCE, side="right")))
+        k = short[lo:hi]
+        out[kernels.runs(begins[k], lengths[k])] = data[kernels.runs(starts[k], lengths[k])]
+        lo = hi
+
+
 def _assemble(conv: np.ndarray, role: pa.Array, text: pa.Array, marker: np.ndarray, template: ChatTemplate) -> pa.RecordBatch:
     """Rows of whole conversations, in order, as one batch with one text per conversation."""
     n = len(conv)
@@ -56,7 +74,7 @@ def _assemble(conv: np.ndarray, role: pa.Array, text: pa.Array, marker: np.ndarr
     out = np.empty(int(ends[-1, -1]) if n else 0, np.uint8)
     sources = [(fixed, one * at[0]), (r_data, r_at), (fixed, one * at[1]), (t_data, t_at), (fixed, one * at[2])]
     for k, (data, starts) in enumerate(sources):
-        out[kernels.runs(begins[:, k], lengths[:, k])] = data[kernels.runs(starts, lengths[:, k])]
+        _scatter(out, begins[:, k], data, starts, lengths[:, k])
     first = np.flatnonzero(np.concatenate(([True], conv[1:] != conv[:-1])))
     last = np.concatenate((first[1:], [n])) - 1
     offsets = np.concatenate((begins[first, 0], [len(out)])).astype(np.int64)

@@ -45,17 +45,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str, tokenizers: str = token_counts.TOKENIZERS) -> DataFrame:
-    """Inserts all documents, deletes the toxic ones and revises to 0 tokens those of low quality; the deletes come twice."""
+    """Inserts all documents, deletes the toxic ones, and revises those of low quality, whose numbers become a single 0.
+    Deletes and revisions come twice."""
     versions = {"words-1": None, "byte_bpe_50k-1": (f"{tokenizers}/byte_bpe_50k.tiktoken", token_counts.PATTERN)}
-    counted = cut(token_counts.count_tokens(table(spark, sf_dir, "documents"), versions))
-    labels = table(spark, sf_dir, "labels")
-    toxic = counted.join(labels.where("toxic = 1"), "doc_id", "left_semi")
-    poor = counted.join(labels.where("quality = 0 AND toxic = 0"), "doc_id", "left_semi")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counted = cut(token_counts.count_tokens(docs, versions))
+    toxic = labels.where("toxic = 1").select("doc_id")
+    poor = labels.where("quality = 0 AND toxic = 0").select("doc_id").join(toxic, "doc_id", "left_anti")
+    revised = token_counts.count_tokens(docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", "0")), versions)
+    changes = {
+        "inserts": token_counts.signed(counted, 1),
+        "deletes": token_counts.signed(counted.join(toxic, "doc_id", "left_semi"), -1),
+        "revisions": token_counts.signed(counted.join(poor, "doc_id", "left_semi"), -1).unionByName(token_counts.signed(revised, 1)),
+    }
     rollup = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    rollup.apply("inserts", token_counts.signed(counted, 1))
-    rollup.apply("deletes", token_counts.signed(toxic, -1))
-    rollup.apply("revisions", token_counts.signed(poor, -1).withColumn("n_docs", F.lit(0)))
-    rollup.apply("deletes", token_counts.signed(toxic, -1))
+    for name in ("inserts", "deletes", "revisions", "deletes", "revisions"):
+        rollup.apply(name, changes[name])
     return rollup.totals()
 
 

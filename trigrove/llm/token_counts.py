@@ -2,13 +2,14 @@
 
 A batch of changes becomes signed additive deltas per source, language and
 tokenizer version. It is committed once under its id: data first, then, by an atomic
-creation, a marker. A batch that is sent again changes nothing, and one that broke off leaves nothing that counts.
+rename that overwrites nothing, a marker. A batch that is sent again changes nothing, and one that broke off leaves nothing that counts.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,6 +86,9 @@ class TokenRollup:
     sums of all committed batches, without keys whose sums are all 0. ``compact`` folds committed
     batches into one, which keeps their ids. Null keys are keys of their own; null amounts count as
     0; other columns of the changes are not read; an empty batch is committed too.
+
+    Each attempt writes to a folder of its own, which its marker names; of several writers of one id the
+    one that creates the marker counts, and what the others wrote is never read or overwritten.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -93,57 +97,80 @@ class TokenRollup:
         self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path("commits"))] if self._fs.exists(self._path("commits")) else []
+
+    def _lines(self, name: str) -> list[str]:
+        stream = self._fs.open(self._path(f"commits/{name}"))
+        try:
+            return bytes(stream.readAllBytes()).decode().split("\n")
+        finally:
+            stream.close()
+
     def committed(self) -> dict[str, str]:
-        """For each committed id, the data that its amounts are in."""
-        if not self._fs.exists(self._path("commits")):
-            return {}
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("commits"))]
-        ids = {n: f"data/{n}" for n in names if not n.startswith("compact=")}
+        """For each committed id, the data that its amounts are in. Markers of batches that were folded aren't read."""
+        names = self._names()
+        out: dict[str, str] = {}
         folds = sorted((n for n in names if n.startswith("compact=")), key=lambda n: int(n.split("=")[1]))
-        for n in folds:
-            stream = self._fs.open(self._path(f"commits/{n}"))
-            jvm = self.spark.sparkContext._jvm
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            while (line := reader.readLine()) is not None:
-                if line in ids:
-                    ids[line] = f"data/{n}"
-            reader.close()
-        return ids
+        if folds:  # the last one holds all that those before hold
+            data, *ids = self._lines(folds[-1])
+            out = dict.fromkeys(ids, data)
+        return out | {n: self._lines(n)[0] for n in names if n not in out and not n.startswith("compact=")}
 
     def _mark(self, name: str, text: str) -> bool:
-        """Creates a commit marker; False if there is one. Only the creation counts, so two writers can't both win."""
+        """Creates a commit marker; False if there is one. Only the creation counts, so two writers can't both win.
+
+        The text is written aside and moved there whole, so no marker is ever read half."""
+        aside = self._path(f"aside/{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        gateway, jvm = self.spark.sparkContext._gateway, self.spark.sparkContext._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.NONE
+        self._fs.mkdirs(self._path("commits"))
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("x").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            out = self._fs.create(self._path(f"commits/{name}"), False)
-        except Exception as e:  # noqa: BLE001  the JVM's FileAlreadyExistsException
+            context.rename(aside, self._path(f"commits/{name}"), options)
+            return True
+        except Exception:  # the JVM's FileAlreadyExistsException
+            self._fs.delete(aside, False)
             if self._fs.exists(self._path(f"commits/{name}")):
                 return False
-            raise e
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
+            raise
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         if not re.fullmatch(r"[\w.-]+", batch_id, re.A):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if batch_id in self.committed():
+        if self._fs.exists(self._path(f"commits/{batch_id}")):
             return False
         deltas = changes.groupBy(*[col(k).cast("string").alias(k) for k in KEYS]).agg(*[F.coalesce(F.sum(col(s).cast("long")), F.lit(0)).alias(s) for s in SUMS])
-        # parallel writers of one batch would each have a whole copy; the overwrite leaves one of them
-        deltas.write.mode("overwrite").parquet(f"{self.folder}/data/{batch_id}")
-        return self._mark(batch_id, "")
+        return self._commit(batch_id, deltas, [])
+
+    def _commit(self, name: str, rows: DataFrame, ids: list[str]) -> bool:
+        data = f"data/{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{data}")
+        won = self._mark(name, "\n".join([data, *ids]))
+        if not won:
+            self._fs.delete(self._path(data), True)
+        return won
 
     def totals(self) -> DataFrame:
-        data = sorted(set(self.committed().values()))
+        return self._totals(self.committed())
+
+    def _totals(self, committed: dict[str, str]) -> DataFrame:
+        data = sorted(set(committed.values()))
         if not data:
             return self.spark.createDataFrame([], ", ".join([f"{k} string" for k in KEYS] + [f"{s} long" for s in SUMS]))
-        rows = self.spark.read.parquet(*[f"{self.folder}/{p}" for p in data])
+        rows = self.spark.read.schema(", ".join([f"{k} string" for k in KEYS] + [f"{s} long" for s in SUMS])).parquet(*[f"{self.folder}/{p}" for p in data])
         t = rows.groupBy(*KEYS).agg(*[F.sum(s).alias(s) for s in SUMS])
         return t.where(" OR ".join(f"{s} <> 0" for s in SUMS))
 
-    def compact(self) -> None:
+    def compact(self) -> bool:
+        """Folds what is committed now; False if another compaction was faster, whose fold then counts."""
         ids = self.committed()
         if not ids:
-            return
-        n = 1 + max([int(p.split("=")[1]) for p in ids.values() if "compact=" in p] or [0])
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/data/compact={n}")
-        self._mark(f"compact={n}", "\n".join(ids))
+            return False
+        n = 1 + max([int(x.split("=")[1]) for x in self._names() if x.startswith("compact=")] or [0])
+        return self._commit(f"compact={n}", self._totals(ids).coalesce(1), sorted(ids))
