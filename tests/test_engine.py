@@ -11,14 +11,14 @@ from trigrove.sources.manifest import Manifest, ManifestConflict, parse_manifest
 from trigrove.streaming.ingest import Backpressure, Ingestor
 
 PETS = [
-    {"_id": "1", "text.title": "Щенок", "text.body": "щенок играет с мячиком", "tags": ["puppy"], "lang": "ru", "n": 4},
-    {"_id": "2", "text.title": "Котёнок", "text.body": "котёнок играет с клубком", "tags": ["kitten"], "lang": "ru"},
-    {"_id": "3", "text.title": "Dog", "text.body": "the dog sleeps", "tags": ["dog"], "lang": "en"},
+    {"_id": "1", "text.title": "Бобёр", "text.body": "бобёр играет у реки", "tags": ["puppy"], "lang": "ru", "n": 4},
+    {"_id": "2", "text.title": "Ёжик", "text.body": "ёжик играет на опушке", "tags": ["hedgehog"], "lang": "ru"},
+    {"_id": "3", "text.title": "Owl", "text.body": "an owl hoots at night", "tags": ["owl"], "lang": "en"},
 ]
 
 
 def _segment(spark, tmp_path, name, docs, **options):
-    src = tmp_path / f"{name}.jsonl"
+    src = tmp_path / f"source-{len(list(tmp_path.iterdir()))}.jsonl"
     src.write_text("\n\n".join(json.dumps(d, ensure_ascii=False) for d in docs) + "\n")
     out = f"{tmp_path}/{name}"
     documents.write_segment(documents.read_jsonl(spark, str(src), **options), out, ["line"])
@@ -35,7 +35,7 @@ def test_build_and_search_segment(engine, tmp_path, spark):
     rows = engine.search_segment(seg, "*играет*").collect()
     assert [(r.ext_id, r.doc_id, r.matched_field) for r in rows] == [("1", 0, "text.body"), ("2", 1, "text.body")]
     assert "[играет]" in rows[0].preview
-    assert [r.ext_id for r in engine.search_segment(seg, "*отЁНОК*").collect()] == ["2"]
+    assert [r.ext_id for r in engine.search_segment(seg, "*ёЖИк*").collect()] == ["2"]
     assert [r.ext_id for r in engine.search_segment(seg, "*puppy*", field="tags[0]").collect()] == ["1"]
     assert engine.search_segment(seg, "*puppy*", field="nope").count() == 0
     assert [r.ext_id for r in engine.search_segment(seg, "играет", limit=1, offset=1).collect()] == ["2"]
@@ -50,7 +50,7 @@ def test_index_form_equals_scan_form(spark, tmp_path):
     docs = documents.open_segments(spark, [(0, 1, 0, _segment(spark, tmp_path, "pets", PETS))])
     posts, masks = index.postings(docs), index.field_masks(docs)
     assert {r.doc_id for r in index.prefilter(posts, masks, ["игр", "ает"]).collect()} == {0, 1}
-    assert {r.doc_id for r in index.prefilter(posts, masks, ["игр", "dog"], "or").collect()} == {0, 1, 2}
+    assert {r.doc_id for r in index.prefilter(posts, masks, ["игр", "owl"], "or").collect()} == {0, 1, 2}
     assert {r.doc_id for r in index.prefilter(posts, masks, ["игр"], "not").collect()} == {2}
     assert index.prefilter(posts, masks, ["игр"], "and", "nope").count() == 0
     assert index.prefilter(posts, masks, ["zzz", "игр"]).count() == 0
@@ -70,7 +70,7 @@ def test_pages_are_disjoint_and_dedup_is_by_first(engine, spark, tmp_path):
     seen, cursor, dropped = [], {}, 0
     for _ in range(5):
         out = engine.search(SearchRequest("*needle*", size=3, cursor=cursor))
-        cursor, dropped = out["cursor"], out["metrics"]["dedup_dropped"]
+        cursor, dropped = out["cursor"], dropped + out["metrics"]["dedup_dropped"]
         seen += [h["ext_id"] for h in out["hits"]]
     assert seen == ["0", "1", "2", "3", "4", "5", "6", "7", "", ""]
     assert dropped == 2
@@ -122,8 +122,8 @@ def test_corrupt_segment_fails(spark, tmp_path):
 
 
 def test_manifest_layouts_and_conflicts(spark, tmp_path):
-    flat = '{"shards": {"0": 1, "1": 7}, "segments": {"0:1": ["a"], "1:7": ["b"]}}'
-    v1 = '{"version": 1, "shards": {"0": {"gen": 7, "segments": ["x"]}}}'
+    flat = json.dumps({"segments": {"1:7": ["b"], "0:1": ["a"]}, "shards": {"1": 7, "0": 1}})
+    v1 = json.dumps({"shards": {"0": {"segments": ["x"], "gen": 7}}, "version": 1})
     assert parse_manifest(flat) == {0: {1: ["a"]}, 1: {7: ["b"]}}
     assert parse_manifest(v1) == {0: {7: ["x"]}}
     m = Manifest(spark, f"{tmp_path}/m")
@@ -145,7 +145,7 @@ def test_ingest_is_idempotent_and_readable_at_once(engine):
     assert one["appended"] == 1
     assert engine.ingest(PETS[0], key="k1")["duplicate"]
     hot = engine.search(SearchRequest("*играет*"))
-    assert [h["ext_id"] for h in hot["hits"]] == ["1"] and hot["cursor"]["per_seg"] == {}
+    assert [h["ext_id"] for h in hot["hits"]] == ["1"] and list(hot["cursor"]["per_seg"]) == [f"hot:{one['batch']}"]
     engine.ingest(PETS[1:], key="k2", commit=True)
     assert engine.ingestor.hot_count() == 0
     out = engine.search(SearchRequest("*играет*"))
@@ -160,7 +160,7 @@ def test_backpressure_keeps_the_key_free(spark, tmp_path):
     i.submit([{"_id": "a"}, {"_id": "b"}, {"_id": "c"}])
     with pytest.raises(Backpressure):
         i.submit({"_id": "d"}, key="k")
-    assert [r.ext_id for r in i.hot().orderBy("doc_id").collect()] == ["b", "c"]
+    assert [r.ext_id for r in i.hot().orderBy("ord", "doc_id").collect()] == ["b", "c"]
     i.drain()
     assert i.submit({"_id": "d"}, key="k")["appended"] == 1
 
@@ -177,11 +177,150 @@ def test_damaged_batches_are_quarantined(spark, tmp_path):
 
 
 def test_deadline_and_missing_segments(engine, tmp_path, spark):
-    with pytest.raises(TimeoutError):
-        seg = _segment(spark, tmp_path, "pets", PETS)
-        engine.search(SearchRequest("*играет*", segments=[seg], deadline_ms=1))
+    seg = _segment(spark, tmp_path, "pets", PETS)
+    out = engine.search(SearchRequest("*играет*", segments=[seg], deadline_ms=1))
+    assert out["metrics"]["deadline_hit"] and out["hits"] == [] and out["cursor"]["per_seg"] == {}
+    whole = engine.search(SearchRequest("*играет*", segments=[seg], deadline_ms=600_000, cursor=out["cursor"]))
+    assert len(whole["hits"]) == 2 and not whole["metrics"]["deadline_hit"]
     with pytest.raises(Exception):
         engine.search(SearchRequest("*играет*", segments=[f"{tmp_path}/none"]))
     lenient = engine.with_config(on_segment_error="skip")
     assert lenient.search(SearchRequest("*играет*", segments=[f"{tmp_path}/none"]))["hits"] == []
     assert engine.health() == "ok"
+
+
+def pages(engine, most=60, **request):
+    """External ids of each page, until one is short."""
+    out, cursor = [], {}
+    while len(out) < most:
+        page = engine.search(SearchRequest(cursor=cursor, **request))
+        cursor = page["cursor"]
+        out.append([h["ext_id"] for h in page["hits"]])
+        if len(page["hits"]) < request["size"]:
+            return out
+    raise AssertionError("the pages don't end")
+
+
+def test_pages_go_on_past_every_cap(engine, spark, tmp_path):
+    seg = _segment(spark, tmp_path, "big", [{"_id": str(k), "t": "needle" if k % 2 else "need some lees"} for k in range(2200)])
+    other = _segment(spark, tmp_path, "other", [{"_id": str(k), "t": "a needle"} for k in range(2190, 2210)])
+    m = Manifest(spark, engine.config.root)
+    m.append(0, [seg, other])
+    want = [str(k) for k in range(1, 2200, 2)] + [str(k) for k in range(2190, 2210) if k >= 2200 or k % 2 == 0]
+    for size, caps in ((400, {}), (900, {"max_candidates": 300}), (2000, {"segment_hits": 250})):
+        got = pages(engine, wildcard="*needle*", size=size, **caps)
+        assert [i for page in got for i in page] == want and all(len(p) == size for p in got[:-1])
+
+
+def test_pages_over_hot_documents_end(engine):
+    engine.ingest([{"_id": str(k), "t": "needle"} for k in range(3)], key="a")
+    engine.ingest([{"_id": str(k), "t": "needle"} for k in range(2, 5)])
+    assert pages(engine, wildcard="needle", size=2) == [["0", "1"], ["2", "3"], ["4"]]
+    # what is committed between two pages is neither lost nor shown twice
+    first = engine.search(SearchRequest("needle", size=2))
+    engine.ingestor.drain()
+    rest = engine.search(SearchRequest("needle", size=9, cursor=first["cursor"]))
+    assert [h["ext_id"] for h in first["hits"] + rest["hits"]] == ["0", "1", "2", "3", "4"]
+    engine.ingest([{"_id": "late", "t": "needle"}])
+    first = engine.search(SearchRequest("needle", size=2))
+    engine.ingestor.drain()
+    engine.ingest([{"_id": "later", "t": "needle"}])
+    rest = engine.search(SearchRequest("needle", size=9, cursor=first["cursor"]))
+    assert sorted(h["ext_id"] for h in first["hits"] + rest["hits"]) == ["0", "1", "2", "3", "4", "late", "later"]
+
+
+@pytest.mark.parametrize("name", ["with space", "дом ё%41+", "br{a,b}[x]*"])
+def test_segments_of_any_path(spark, tmp_path, name):
+    seg = _segment(spark, tmp_path, name, PETS)
+    for path in (seg, f"file:{seg}", f"file://{seg}", f"{seg}/"):
+        assert documents.open_segments(spark, [(0, 1, 0, path)]).count() == 3
+
+
+def test_a_file_of_no_segment_is_an_error(spark, tmp_path, monkeypatch):
+    seg = _segment(spark, tmp_path, "s", PETS)
+    monkeypatch.setattr(documents.Files, "urls", staticmethod(lambda spark, paths: dict.fromkeys(paths, "file:/elsewhere")))
+    with pytest.raises(ValueError, match="no segment of the manifest"):
+        documents.open_segments(spark, [(0, 1, 0, seg)])
+
+
+def test_null_values_are_no_fields(spark):
+    rows = spark.createDataFrame([("1", "abc", None), ("2", None, "abc"), ("3", "", "abcd")], "i string, lang string, t string")
+    d = documents.from_table(rows, {"_id": "i", "lang": "lang", "t": "t"}).selectExpr("'s' AS segment", "cast(i AS int) AS doc_id", "ext_id", "fields", "0L AS shard", "0L AS gen", "0 AS ord")
+    assert {r.doc_id: sorted(r.fields) for r in d.collect()} == {1: ["_id", "lang"], 2: ["_id", "t"], 3: ["_id", "lang", "t"]}
+    assert {r.doc_id for r in index.field_masks(d).where("path = 'lang'").collect()} == {1, 3}
+    p = search.compile_pattern("abc")
+    assert {r.doc_id for r in search.candidates(d, p, search.SearchOptions(field="lang")).collect()} == {1, 3}
+    assert {r.doc_id for r in search.candidates(d, p, search.SearchOptions(field="t"), "not").collect()} == set()
+    # also where a map came with a null value
+    raw = spark.createDataFrame([("s", 1, {"lang": None, "t": "abc"})], "segment string, doc_id int, fields map<string,string>")
+    assert index.field_masks(raw).count() == 1 and search.candidates(raw, p, search.SearchOptions(field="lang")).count() == 0
+
+
+def test_segments_are_numbered_by_many_tasks(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id * 7919 % 5000 AS k", "cast(id AS string) AS ext_id", "map('t', cast(id * 7919 % 5000 AS string)) AS fields").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        documents.write_segment(rows, f"{tmp_path}/s", ["k"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = documents.open_segments(spark, [(0, 1, 0, f"{tmp_path}/s")])
+    assert got.count() == 5000 and got.where("fields['t'] <> cast(doc_id AS string)").count() == 0
+    import glob
+
+    assert len(glob.glob(f"{tmp_path}/s/*.parquet")) > 1 and not glob.glob(f"{tmp_path}/.s-*")
+    with pytest.raises(FileExistsError):
+        documents.write_segment(rows, f"{tmp_path}/s", ["k"])
+    documents.write_segment(rows.limit(0), f"{tmp_path}/none", ["k"])
+    assert documents.open_segments(spark, [(0, 1, 0, f"{tmp_path}/none")]).count() == 0
+
+
+def test_formats_are_found_out(spark, tmp_path):
+    seg = _segment(spark, tmp_path, "new", PETS[:2])
+    old = tmp_path / "old"
+    old.mkdir()
+    old.joinpath("docs.jsonl").write_text("".join(json.dumps({"doc_id": k, "ext_id": f"o{k}", "fields": {"text.body": f"зверь играет {k}"}}, ensure_ascii=False) + "\n" for k in range(3)))
+    assert [documents.segment_format(spark, p) for p in (seg, str(old), f"{tmp_path}/nowhere")] == ["parquet", "json", "unknown"]
+    e = Engine(spark, Config(root=f"{tmp_path}/root"))
+    out = e.search(SearchRequest("*играет*", segments=[seg, str(old)]))
+    assert [h["ext_id"] for h in out["hits"]] == ["1", "2", "o0", "o1", "o2"]
+    with pytest.raises(ValueError, match="no segment"):
+        e.search(SearchRequest("*играет*", segments=[f"{tmp_path}/nowhere"]))
+
+
+def test_preferred_fields_in_previews(engine, spark, tmp_path):
+    seg = _segment(spark, tmp_path, "pets", PETS)
+    out = engine.search(SearchRequest("*hedgehog*", segments=[seg], preview_field="preferred"))
+    assert [(h["matched_field"], h["preview"]) for h in out["hits"]] == [("tags[0]", "ежик")]
+    out = engine.search(SearchRequest("*hedgehog*", segments=[seg]))
+    assert out["hits"][0]["preview"] == "[hedgehog]" and out["metrics"]["warmed_docs"] == 1
+
+
+def test_small_segments_are_merged(engine, spark):
+    for k in range(5):
+        engine.ingest([{"_id": f"{k}-{j}", "t": "needle"} for j in range(4)], commit=True)
+    before = engine.search(SearchRequest("needle", size=50))
+    assert engine.merge(10) == 3 and len(engine.manifest(0)["segments"]) == 2
+    after = engine.search(SearchRequest("needle", size=50))
+    assert [h["ext_id"] for h in after["hits"]] == [h["ext_id"] for h in before["hits"]]
+    pinned = engine.search(SearchRequest("needle", size=50, cursor={"pin_gen": {0: 2}}))
+    assert [h["ext_id"] for h in pinned["hits"]][:8] == [f"{k}-{j}" for k in range(2) for j in range(4)]
+    # a batch that is committed later goes on from there, one that is run again changes nothing
+    engine.ingest({"_id": "new", "t": "needle"}, commit=True)
+    gen = engine.manifest(0)
+    engine.ingestor._commit(spark.createDataFrame([], "value string, file string"), gen["batch"])
+    assert engine.manifest(0)["gen"] == gen["gen"] and len(gen["segments"]) == 3
+
+
+def test_only_one_of_two_writers_of_a_key_lands(engine):
+    i = engine.ingestor
+    name = i.submit({"_id": "a", "t": "needle"}, key="k")["batch"]
+    assert i.landing.append([{"_id": "b"}], name[:-6]) is None and i.landing.valid(name)
+    i.drain()
+    assert i.submit({"_id": "a"}, key="k")["duplicate"] and i._waiting() == []
+    # a repeat that slipped in while its batch was moved away is left out of the next commit
+    assert i.landing.append([{"_id": "a", "t": "needle"}], name[:-6]) == name
+    i.submit({"_id": "c", "t": "needle"})
+    assert i.hot_count() == 2 or i.hot_count() == 1
+    i.drain()
+    rows, _ = i.manifest.resolve()
+    assert sorted(r.ext_id for r in documents.open_segments(engine.spark, rows).collect()) == ["a", "c"]

@@ -35,13 +35,13 @@ def bracketed(value: Column, start: Column, size: Column, most: int = 180) -> Co
 
 def literal_preview(value: Column, needle: str, most: int = 180) -> Column:
     """Brackets around the needle, else around its longest prefix of three characters or more that occurs, else truncated."""
-    out = truncated(value, most)
-    for n in range(min(3, len(needle)) if needle else 1, len(needle) + 1):
-        if n < 3:
-            continue
-        at = F.instr(value, needle[:n])
-        out = F.when(at > 0, bracketed(value, at, F.lit(n), most)).otherwise(out)
-    return out
+    if len(needle) < 3:
+        return truncated(value, most)
+    # the longest prefix that occurs, found by one expression whatever the needle's length
+    size = F.array_max(F.filter(F.sequence(F.lit(3), F.lit(len(needle))), lambda n: F.contains(value, F.substr(F.lit(needle), F.lit(1), n))))
+    size = F.when(value.contains(needle), F.lit(len(needle))).otherwise(size)
+    found = F.substr(F.lit(needle), F.lit(1), size)
+    return F.when(size.isNotNull(), bracketed(value, F.position(found, value), size, most)).otherwise(truncated(value, most))
 
 
 def span_preview(value: Column, pattern: Pattern, most: int = 180) -> Column:

@@ -121,7 +121,13 @@ def gram_rows(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, text).mapInArrow(run, schema)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _trigrams_of(column: pa.Array) -> pa.Array:
+    return pa.array([None if s is None else trigrams(s) for s in column.to_pylist()], pa.list_(pa.string()))
+
+
 def register(spark: SparkSession) -> None:
-    """normalize_text and flatten_json as SQL functions."""
+    """normalize_text, flatten_json and trigrams as SQL functions."""
+    spark.udf.register("trigrams", _trigrams_of)
     spark.udf.register("normalize_text", _normalize_other)
     spark.udf.register("flatten_json", flatten_fields)

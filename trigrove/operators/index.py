@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrove.functions.text import gram_rows
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """segment, doc_id, path, gram: each distinct trigram of each field of stored documents."""
+def postings(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """segment, doc_id, path, gram: each distinct trigram of each field of stored documents; with ``only`` those that are among them."""
     fields = docs.select("segment", "doc_id", F.explode("fields").alias("path", "value"))
+    if only is not None:
+        # which of a few trigrams a value holds is found in the scan
+        held = F.array_compact(F.array(*[F.when(F.col("value").contains(g), F.lit(g)) for g in dict.fromkeys(only)]))
+        return fields.select("segment", "doc_id", "path", F.explode(held).alias("gram"))
     return gram_rows(fields, "value", ["segment", "doc_id", "path"])
 
 
 def field_masks(docs: DataFrame) -> DataFrame:
-    """path and the documents (segment, doc_id) that have it, empty values included."""
-    return docs.select("segment", "doc_id", F.explode(F.map_keys("fields")).alias("path"))
+    """path and the documents (segment, doc_id) that have it, empty values included; null ones are no fields."""
+    return docs.select("segment", "doc_id", F.explode(F.map_keys(F.map_filter("fields", lambda _, v: v.isNotNull()))).alias("path"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -48,3 +52,8 @@ def prefilter(index: DataFrame, masks: DataFrame, grams: list[str], mode: str =
 def write_postings(index: DataFrame, path: str, partitions: int) -> None:
     """Postings in order of trigram, so that row-group statistics let a look-up read only what holds its trigrams."""
     index.repartitionByRange(partitions, "gram").sortWithinPartitions("gram", "segment", "doc_id").write.mode("errorifexists").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, grams: list[str]) -> DataFrame:
+    """The stored postings of some trigrams; row groups of other ones aren't read."""
+    return spark.read.schema("segment string, doc_id int, path string, gram string").parquet(path).where(F.col("gram").isin(list(grams)))

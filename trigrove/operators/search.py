@@ -52,7 +52,7 @@ def candidates(docs: DataFrame, pattern: Pattern, options: SearchOptions | None
     f = F.col("fields")
     out = docs
     if options.field:
-        out = out.where(F.map_contains_key(f, options.field))
+        out = out.where(f[options.field].isNotNull())
     if not pattern.grams:
         return out
     values = [f[p] for p in options.paths]
@@ -76,18 +76,45 @@ def _after_cursor(df: DataFrame, cursor: dict[str, int]) -> DataFrame:
     if not cursor:
         return df
     rows = df.sparkSession.createDataFrame(sorted(cursor.items()), "segment string, last_docid long")
-    return df.join(rows, "segment", "left").where("doc_id > coalesce(last_docid, -1)").drop("last_docid")
+    return df.join(F.broadcast(rows), "segment", "left").where("doc_id > coalesce(last_docid, -1)").drop("last_docid")
 
 
-def search(docs: DataFrame, wildcard: str, options: SearchOptions | None = None) -> DataFrame:
-    """All hits: shard, gen, ord, segment, doc_id, ext_id, matched_field, preview. Raises PatternTooWeak.
+def upto_cursor(df: DataFrame, cursor: dict[str, int]) -> DataFrame:
+    """The rows that earlier pages have passed."""
+    rows = df.sparkSession.createDataFrame(sorted(cursor.items()), "segment string, last_docid long")
+    return df.join(F.broadcast(rows), "segment").where("doc_id <= last_docid").drop("last_docid")
+
+
+def limited(docs: DataFrame, pattern: Pattern, options: SearchOptions, cursor: dict[str, int]) -> DataFrame:
+    """What one look at the segments after the cursor sees: shard, gen, ord, segment, doc_id, ext_id, matched_field
+    (null where a candidate is no hit) and n_hit, the number of hits of the segment up to the row.
+
+    At most max_candidates candidates and segment_hits hits of each segment, and one candidate more (``over``) where there are
+    more. Windows hold no texts.
+    """
+    f = F.col("fields")
+    slim = candidates(_after_cursor(docs, cursor), pattern, options).select("shard", "gen", "ord", "segment", "doc_id", "ext_id", matched_field(f, pattern, options.field, options.paths).alias("matched_field"))
+    rank = Window.partitionBy("segment").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = slim.withColumn("n", F.count(F.lit(1)).over(rank)).withColumn("n_hit", F.count("matched_field").over(rank))
+    over = F.lit(False)
+    if options.max_candidates is not None:
+        over = over | (F.col("n") > options.max_candidates)
+    if options.segment_hits is not None:
+        over = over | (F.col("n_hit") > options.segment_hits)
+    out = out.withColumn("over", over)
+    first = F.min(F.when(F.col("over"), F.col("doc_id"))).over(Window.partitionBy("segment"))
+    return out.withColumn("end", first).where("end IS NULL OR doc_id <= end").drop("n", "end")
+
+
+def search(docs: DataFrame, wildcard: str, options: SearchOptions | None = None, cursor: dict[str, int] | None = None) -> DataFrame:
+    """All hits after the cursor: shard, gen, ord, segment, doc_id, ext_id, matched_field, preview. Raises PatternTooWeak.
 
-    max_candidates counts, per segment, documents that pass the prefilter, after the cursor. The cursor
-    itself applies after dedup (see ``page``), so here it bounds candidates only when max_candidates is set.
+    max_candidates counts, per segment, documents after the cursor that pass the prefilter; segment_hits hits after it.
     """
     options = options or SearchOptions()
     pattern = compile_pattern(wildcard, options.allow_weak)
     f = F.col("fields")
+    docs = _after_cursor(docs, cursor or {})
     found = docs if options.max_candidates is None else candidates(docs, pattern, options)
     value = F.col("fields")[F.col("matched_field")] if not options.field else f[options.field]
     rows = found.withColumn("matched_field", matched_field(f, pattern, options.field, options.paths))

@@ -7,20 +7,20 @@ Documents are taken as stored documents: fields _id, lang, source and text, segm
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrove.functions.pattern import compile_pattern
-from trigrove.functions.preview import literal_preview, span_preview, truncated
+from trigrove.functions.preview import literal_preview, preview, span_preview, truncated
 from trigrove.functions.text import flatten_fields, gram_rows, normalized
 from trigrove.operators import index, search
+from trigrove.plans.engine import Config, Engine, SearchRequest
 from trigrove.sources import documents
-from trigrove.sources.manifest import parse_manifest
-from trigrove.streaming.ingest import Ingestor
+from trigrove.sources.files import shared_folder
+from trigrove.sources.manifest import Manifest, ManifestConflict
+from trigrove.streaming.ingest import Backpressure, Ingestor
 
 PATHS = ("_id", "lang", "source", "text")
 _N = "strip_accents(lower({}))"
@@ -85,9 +85,13 @@ _query("conversation_search", f"SELECT conv_id, turn, role FROM conversations WH
 _query("page_html_search", f"SELECT page_id, url FROM pages WHERE {_N.format('html')} LIKE '%<h1>%tion%</h1>%'")(_matching("<h1>*tion*</h1>", "pages", ["page_id", "url"], "html"))
 
 
-@_query("required_grams", "SELECT * FROM (VALUES ('ent'), ('nti'), ('tio'), ('rie'), ('res')) AS t(gram)")
+_PATTERNS = {"*Entió*?*rieRES*": ["entio", "rieres"], "ab*cd?ＡＢＣ": ["ab", "cd", "abc"], "the*Thé": ["the", "the"], "%a_b%": ["%a_b%"]}
+_RUNS = ", ".join(f"('{p}', '{r}')" for p, runs in _PATTERNS.items() for r in runs)
+
+
+@_query("required_grams", f"SELECT DISTINCT pattern, substr(run, CAST(i AS INTEGER), 3) AS gram FROM (SELECT pattern, run, unnest(range(1, length(run) - 1)) AS i FROM (VALUES {_RUNS}) AS t(pattern, run))")
 def _(spark, sf):
-    return spark.createDataFrame([(g,) for g in compile_pattern("*Entió*?*rieRES*").grams if g not in ("ier", "ere")], "gram string")
+    return spark.createDataFrame([(p, g) for p in _PATTERNS for g in compile_pattern(p).grams], "pattern string, gram string")
 
 
 _GRAMS = f"SELECT DISTINCT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT doc_id, {_TEXT} AS t FROM documents) WHERE length(t) >= 3)"
@@ -120,9 +124,9 @@ def _(spark, sf):
 # prefilter, fields and verification
 
 
-def _index(spark, sf):
+def _index(spark, sf, grams):
     d = stored(spark, sf)
-    return index.postings(d), index.field_masks(d)
+    return index.postings(d, grams), index.field_masks(d)
 
 
 def _has(gram: str) -> str:
@@ -131,7 +135,7 @@ def _has(gram: str) -> str:
 
 _PICK = ["ent", "rie"]
 for _mode, _cond in (("and", " AND ".join(map(_has, _PICK))), ("or", " OR ".join(map(_has, _PICK))), ("not", "NOT (" + " OR ".join(map(_has, _PICK)) + ")")):
-    _query(f"prefilter_{_mode}", f"WITH {_D} SELECT segment, doc_id FROM d WHERE {_cond}")(lambda spark, sf, m=_mode: index.prefilter(*_index(spark, sf), _PICK, m))
+    _query(f"prefilter_{_mode}", f"WITH {_D} SELECT segment, doc_id FROM d WHERE {_cond}")(lambda spark, sf, m=_mode: index.prefilter(*_index(spark, sf, _PICK), _PICK, m))
     _query(f"prefilter_scan_{_mode}", f"WITH {_D} SELECT segment, doc_id FROM d WHERE {_cond}")(
         lambda spark, sf, m=_mode: search.candidates(stored(spark, sf), compile_pattern("ent*rie"), search.SearchOptions(paths=PATHS), m).select("segment", "doc_id")
     )
@@ -139,7 +143,34 @@ for _mode, _cond in (("and", " AND ".join(map(_has, _PICK))), ("or", " OR ".join
 
 @_query("field_mask", f"WITH {_D} SELECT segment, doc_id FROM d WHERE ({_has('src')}) AND lang IS NOT NULL")
 def _(spark, sf):
-    return index.prefilter(*_index(spark, sf), ["src"], "and", "lang")
+    return index.prefilter(*_index(spark, sf, ["src"]), ["src"], "and", "lang")
+
+
+@_query("stored_postings", f"WITH {_D} SELECT segment, doc_id FROM d WHERE {_has('ent')} AND {_has('rie')}")
+def _(spark, sf):
+    d = stored(spark, sf)
+    folder = shared_folder(spark)
+    index.write_postings(index.postings(d), folder, 8)
+    return index.prefilter(index.read_postings(spark, folder, _PICK), index.field_masks(d), _PICK)
+
+
+@_query("field_mask_nulls", """
+    SELECT d.doc_id, CASE WHEN q.quality IS NOT NULL THEN 'labelled' ELSE 'unlabelled' END AS kind FROM documents d
+    LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q ON q.doc_id = d.doc_id""")
+def _(spark, sf):
+    # documents without a label have no field of that name
+    labels = _table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = _table(spark, sf, "documents").join(labels, "doc_id", "left").withColumn("segment", F.lit("s"))
+    d = documents.from_table(rows, {"_id": "doc_id", "quality": "quality"})
+    with_it = search.candidates(d, compile_pattern("*", True), search.SearchOptions(field="quality"))
+    without = d.join(index.field_masks(d).where("path = 'quality'").select("doc_id"), "doc_id", "left_anti")
+    return with_it.select("doc_id", F.lit("labelled").alias("kind")).unionByName(without.select("doc_id", F.lit("unlabelled").alias("kind")))
+
+
+@_query("weak_pattern", f"WITH {_D} SELECT segment, doc_id FROM d WHERE source LIKE '%s%'")
+def _(spark, sf):
+    o = search.SearchOptions(field="source", max_candidates=None, segment_hits=None, allow_weak=True, preview_mode="plain")
+    return search.search(stored(spark, sf), "*s*", o).select("segment", "doc_id")
 
 
 @_query("field_unknown_empty", f"WITH {_D} SELECT segment, doc_id FROM d WHERE false")
@@ -186,6 +217,17 @@ def _(spark, sf):
     return t.select("doc_id", literal_preview(F.col("t"), "ention").alias("preview"))
 
 
+@_query("preview_needle", f"""
+    WITH a AS (SELECT doc_id, {_TEXT} AS t FROM documents), b AS (SELECT doc_id, t, strpos(t, 'ention') AS pos FROM a WHERE t LIKE '%ention%'),
+    c AS (SELECT doc_id, t, pos, greatest(1, pos - 86) AS lo, least(length(t), pos + 5 + 86) AS hi FROM b),
+    e AS (SELECT doc_id, CASE WHEN lo > 1 THEN '…' ELSE '' END || substr(t, lo, pos - lo) || '[ention]' || substr(t, pos + 6, hi - pos - 5) || CASE WHEN hi < length(t) THEN '…' ELSE '' END AS s FROM c)
+    SELECT doc_id, CASE WHEN length(s) > 184 THEN substr(s, 1, 184) || '…' ELSE s END AS preview FROM e""")
+def _(spark, sf):
+    # the longest run is the needle; where it doesn't occur, its longest prefix that does is marked
+    t = _table(spark, sf, "documents").select("doc_id", normalized("text").alias("t")).where(F.col("t").contains("ention"))
+    return t.select("doc_id", preview(F.col("t"), compile_pattern("*the*ention#qx*"), "literal").alias("preview"))
+
+
 @_query("preview_span", f"""
     WITH a AS (SELECT doc_id, '[' || {_TEXT} || ']' AS s FROM documents WHERE {_TEXT} LIKE '%ention%')
     SELECT doc_id, CASE WHEN length(s) > 184 THEN substr(s, 1, 184) || '…' ELSE s END AS preview FROM a""")
@@ -273,9 +315,15 @@ def _(spark, sf):
     return per.agg(F.count(F.lit(1)).alias("segments"), F.sum("hits").alias("hits"), F.sum("dropped").alias("dedup_dropped"))
 
 
-@_query("checksums", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+@_query("checksums", f"WITH {_D} SELECT segment, count(*) AS n_docs, true AS same FROM d GROUP BY segment")
 def _(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
+    """Each segment's hash of contents, of what was written and of what is read back from one file of all."""
+    d = stored(spark, sf)
+    folder = shared_folder(spark)
+    d.select("segment", "doc_id", "ext_id", "fields").write.option("parquet.page.write-checksum.enabled", "true").parquet(folder)
+    back = spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(folder)
+    was, now = documents.content_hash(d), documents.content_hash(back).select("segment", F.col("content_hash").alias("now"))
+    return was.join(now, "segment").select("segment", "n_docs", (F.col("content_hash") == F.col("now")).alias("same"))
 
 
 @_query("get_docs", f"WITH {_D} SELECT segment, doc_id, ext_id, text FROM d WHERE (segment = 'seg-1' AND doc_id IN (3, 99)) OR (segment = 'seg-7' AND doc_id = 0)")
@@ -287,19 +335,16 @@ def _(spark, sf):
 # manifest
 
 
-def _manifest(text: str):
-    parsed = parse_manifest(text)
-    return [(s, g, i, p) for s, gens in parsed.items() for g, segments in gens.items() for i, p in enumerate(segments)]
-
-
-_FLAT = json.dumps({"shards": {"0": 1, "2": 3}, "segments": {"0:1": ["seg-0"], "2:3": ["seg-2", "seg-6"], "2:2": ["seg-2"]}})
+_FLAT = json.dumps({"shards": {"0": 1, "2": 2}, "segments": {"0:1": ["seg-0"], "2:2": ["seg-2"]}})
 
 
 def _of_manifest(spark, sf, shards, pinned=None):
-    newest = {0: 1, 2: 3} | (pinned or {})
-    rows = [r for r in _manifest(_FLAT) if r[0] in shards and newest.get(r[0]) == r[1]]
-    m = spark.createDataFrame([(p,) for _, _, _, p in rows], "segment string")
-    return _hits(spark, sf).join(F.broadcast(m), "segment", "left_semi").select("segment", "doc_id")
+    m = Manifest(spark, shared_folder(spark))
+    m.migrate(_FLAT)
+    m.append(2, ["seg-6"], expected_gen=2)
+    rows, _ = m.resolve(shards, pinned)
+    segments = spark.createDataFrame([(p,) for _, _, _, p in rows], "segment string")
+    return _hits(spark, sf).join(F.broadcast(segments), "segment", "left_semi").select("segment", "doc_id")
 
 
 @_query("manifest_current", f"WITH {_D}, {_HITS} SELECT segment, doc_id FROM h WHERE segment IN ('seg-0', 'seg-2', 'seg-6')")
@@ -312,6 +357,29 @@ def _(spark, sf):
     return _of_manifest(spark, sf, [0, 2, 9], {2: 2})
 
 
+@_query("manifest_get", "SELECT CAST(2 AS BIGINT) AS shard, CAST(3 AS BIGINT) AS gen, unnest(['seg-2', 'seg-6']) AS segment UNION ALL SELECT 2, 2, 'seg-2'")
+def _(spark, sf):
+    m = Manifest(spark, shared_folder(spark))
+    m.migrate(_FLAT)
+    m.append(2, ["seg-6"])
+    found = [m.get(2), m.get(2, 2)]
+    return spark.createDataFrame([(x["shard"], x["gen"], p) for x in found for p in x["segments"]], "shard long, gen long, segment string")
+
+
+@_query("manifest_cas", "SELECT * FROM (VALUES ('first', true), ('second', false), ('retry', true)) AS t(writer, won)")
+def _(spark, sf):
+    m = Manifest(spark, shared_folder(spark))
+
+    def tried(expected: int) -> bool:
+        try:
+            m.append(0, [f"seg-{expected}"], expected_gen=expected)
+            return True
+        except ManifestConflict:
+            return False
+
+    return spark.createDataFrame([("first", tried(0)), ("second", tried(0)), ("retry", tried(1))], "writer string, won boolean")
+
+
 @_query("search_by_shard", f"WITH {_D}, {_HITS} SELECT segment, doc_id FROM h WHERE shard = 2")
 def _(spark, sf):
     return search.search(stored(spark, sf).where("shard = 2"), "*ention*", search.SearchOptions(field="text", max_candidates=None, segment_hits=None, preview_mode="plain")).select("segment", "doc_id")
@@ -320,27 +388,105 @@ def _(spark, sf):
 # hot documents, segments and ingest
 
 
-@_query("hot_union", f"""
-    WITH {_D}, {_HITS} SELECT ext_id, CASE WHEN shard = 3 THEN '__hot__' ELSE segment END AS segment FROM h""")
+_ITEMS = "i AS (SELECT CAST(item_id AS VARCHAR) AS ext_id, {0} AS body, row_number() OVER (ORDER BY item_id) AS n, count(*) OVER () AS total FROM benchmark)".format(_TEXT)
+
+
+def _items(spark, sf) -> list[list[dict]]:
+    """The items of the benchmark, which is small, in batches of ten."""
+    rows = _table(spark, sf, "benchmark").select("item_id", "text").orderBy("item_id").toLocalIterator()
+    docs = [{"_id": str(r.item_id), "text": {"body": r.text}} for r in rows]
+    return [docs[k : k + 10] for k in range(0, len(docs), 10)]
+
+
+def _pages(spark, engine: Engine, **request) -> DataFrame:
+    """ext_id and matched_field of all hits, page after page."""
+    found, cursor = [], {}
+    while True:
+        page = engine.search(SearchRequest(cursor=cursor, **request))
+        cursor = page["cursor"]
+        found += [(h["ext_id"], h["matched_field"]) for h in page["hits"]]
+        if len(page["hits"]) < request["size"]:
+            return spark.createDataFrame(found, "ext_id string, matched_field string")
+
+
+@_query("search_pages", f"WITH {_D} SELECT ext_id, 'text' AS matched_field FROM d WHERE text LIKE '%ention%'")
 def _(spark, sf):
-    d = stored(spark, sf)
-    hot = d.where("shard = 3").withColumns({"segment": F.lit("__hot__"), "shard": F.lit(2**62).cast("long")})
-    return search.search(d.where("shard <> 3").unionByName(hot), "*ention*", search.SearchOptions(field="text", max_candidates=None, segment_hits=None, preview_mode="plain")).select("ext_id", "segment")
+    """Pages of an engine over segments of which each look sees fewer hits than there are."""
+    engine = Engine(spark, Config(root=shared_folder(spark)))
+    d = documents.from_table(_table(spark, sf, "documents"), {"_id": "doc_id", "lang": "lang", "source": "source", "text": "text"})
+    paths = [f"{engine.config.root}/made/{k}" for k in range(2)]
+    for k, path in enumerate(paths):
+        documents.write_segment(d.where(F.col("doc_id") % 2 == k), path, ["doc_id"])
+    engine.manifests.append(0, paths)
+    return _pages(spark, engine, wildcard="*ention*", size=120, segment_hits=100)
+
+
+@_query("hot_union", f"WITH {_ITEMS} SELECT ext_id, 'text.body' AS matched_field FROM i WHERE body LIKE '%ter%'")
+def _(spark, sf):
+    """Pages over documents of which half are in a segment and half are hot; between two pages all are committed."""
+    engine = Engine(spark, Config(root=shared_folder(spark)))
+    batches = _items(spark, sf)
+    for k, batch in enumerate(batches):
+        if k == len(batches) // 2:
+            engine.ingestor.drain()
+        engine.ingest(batch, key=f"batch-{k}")
+    first = engine.search(SearchRequest("*ter*", field="text.body", size=max(1, sum(map(len, batches)) // 4)))
+    engine.ingestor.drain()
+    rest = engine.search(SearchRequest("*ter*", field="text.body", size=10_000, cursor=first["cursor"]))
+    return spark.createDataFrame([(h["ext_id"], h["matched_field"]) for h in first["hits"] + rest["hits"]], "ext_id string, matched_field string")
+
+
+@_query("hot_cap", f"WITH {_ITEMS} SELECT ext_id FROM i WHERE n > least(30, total) - 25 AND n <= 30")
+def _(spark, sf):
+    """The newest 25 of the documents that landed before the cap was met."""
+    ingestor = Ingestor(spark, shared_folder(spark), hot_cap=25)
+    for batch in _items(spark, sf):
+        try:
+            ingestor.submit(batch)
+        except Backpressure:
+            break
+    return ingestor.hot().select("ext_id")
 
 
-@_query("hot_cap", "SELECT conv_id, turn FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 100")
+@_query("backpressure", f"WITH {_ITEMS} SELECT (n - 1) // 10 AS batch, bool_or(n <= 30) AS taken FROM i GROUP BY 1")
 def _(spark, sf):
-    return _table(spark, sf, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(100).select("conv_id", "turn")
+    ingestor = Ingestor(spark, shared_folder(spark), hot_cap=25)
+
+    def taken(batch: list[dict]) -> bool:
+        try:
+            return ingestor.submit(batch, key=batch[0]["_id"])["ok"]
+        except Backpressure:
+            return False
+
+    return spark.createDataFrame([(k, taken(b)) for k, b in enumerate(_items(spark, sf))], "batch long, taken boolean")
 
 
-def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trigrove-")
-    return f"{folder}/{uuid.uuid4().hex}"
+@_query("damaged_batches", f"WITH {_ITEMS} SELECT ext_id, body FROM i WHERE (n - 1) // 10 <> 1")
+def _(spark, sf):
+    """What is committed when the second batch isn't as its checksum says."""
+    ingestor = Ingestor(spark, shared_folder(spark))
+    names = [ingestor.submit(b)["batch"] for b in _items(spark, sf)]
+    if len(names) > 1:
+        ingestor.files.replace(f"batches/{names[1]}", '{"_id": "forged"}\n')
+    ingestor.drain()
+    found, _ = ingestor.manifest.resolve()
+    return documents.open_segments(spark, found).select("ext_id", F.col("fields")["text.body"].alias("body"))
+
+
+@_query("segment_errors", f"WITH {_D} SELECT ext_id, 'text' AS matched_field FROM d WHERE text LIKE '%ention%'")
+def _(spark, sf):
+    """A manifest names a segment that isn't there, and the engine passes it by."""
+    engine = Engine(spark, Config(root=shared_folder(spark), on_segment_error="skip"))
+    d = documents.from_table(_table(spark, sf, "documents"), {"_id": "doc_id", "lang": "lang", "source": "source", "text": "text"})
+    path = f"{engine.config.root}/made"
+    documents.write_segment(d, path, ["doc_id"])
+    engine.manifests.append(0, [f"{path}-missing", path])
+    return _pages(spark, engine, wildcard="*ention*", size=5000)
 
 
 @_query("segment_roundtrip", f"WITH {_D} SELECT CAST(gid AS INTEGER) AS doc_id, ext_id, text FROM d WHERE text LIKE '%ention%'")
 def _(spark, sf):
-    path = f"{_scratch(spark)}/segment"
+    path = f"{shared_folder(spark)}/segment"
     d = documents.from_table(_table(spark, sf, "documents"), {"_id": "doc_id", "lang": "lang", "source": "source", "text": "text"})
     d = d.withColumn("fields", F.map_concat("fields", F.create_map(F.lit("gid"), F.col("doc_id").cast("string"))))
     documents.write_segment(d, path, ["doc_id"])
@@ -351,12 +497,10 @@ def _(spark, sf):
 
 @_query("ingest_stream", f"SELECT CAST(item_id AS VARCHAR) AS ext_id, {_TEXT} AS body FROM benchmark")
 def _(spark, sf):
-    ingestor = Ingestor(spark, _scratch(spark))
-    rows = _table(spark, sf, "benchmark").select("item_id", "text").orderBy("item_id").toLocalIterator()
-    docs = [{"_id": str(r.item_id), "text": {"body": r.text}} for r in rows]
-    for k in range(0, len(docs), 25):
-        ingestor.submit(docs[k : k + 25], key=f"batch-{k}")
-        ingestor.submit(docs[k : k + 25], key=f"batch-{k}")
+    ingestor = Ingestor(spark, shared_folder(spark))
+    for k, batch in enumerate(_items(spark, sf)):
+        ingestor.submit(batch, key=f"batch-{k}")
+        ingestor.submit(batch, key=f"batch-{k}")
     ingestor.drain()
     found, _ = ingestor.manifest.resolve()
     return documents.open_segments(spark, found).select("ext_id", F.col("fields")["text.body"].alias("body"))

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 class Files:
+    @staticmethod
+    def plain(url: str) -> str:
+        """A file's URL as a scan reports it, with one slash after "file:"."""
+        return re.sub(r"^file:/+", "file:/", url)
+
+    @staticmethod
+    def urls(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+        """For each path its fully qualified URL, encoded as a scan reports the folder of a file."""
+        path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        out = {}
+        for p in paths:
+            x = path(p)
+            out[p] = Files.plain(x.getFileSystem(conf).makeQualified(x).toUri().toString()).rstrip("/")
+        return out
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
@@ -17,6 +36,12 @@ class Files:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
 
+    def modified(self, folder: str) -> dict[str, int]:
+        """The names in a folder and when each was last written."""
+        if not self.exists(folder):
+            return {}
+        return {s.getPath().getName(): s.getModificationTime() for s in self._fs.listStatus(self._at(folder))}
+
     def names(self, folder: str) -> list[str]:
         if not self.exists(folder):
             return []
@@ -67,3 +92,13 @@ class Files:
             if not overwrite and self.exists(name):
                 return False
             raise
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all machines share: in spark.checkpoint.dir, or in the session's checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='trigrove-')}"
+    return f"{base}/{uuid.uuid4().hex}"

@@ -54,20 +54,29 @@ class Manifest:
         g = known[-1] if gen is None else gen
         return {"shard": shard, "gen": g, **json.loads(self.files.read(f"manifest/{shard}/{g:020d}.json"))}
 
-    def append(self, shard: int, segments: list[str], expected_gen: int | None = None, note: str = "", only_new: bool = False) -> int:
-        """Commits the next generation. With ``expected_gen`` only if that is the newest one; ManifestConflict otherwise, and whenever another writer was faster."""
+    def append(self, shard: int, segments: list[str], expected_gen: int | None = None, note: str = "", only_new: bool = False, batch: int | None = None, files: list[str] | None = None) -> int:
+        """Commits the next generation: the segments of the newest one and the new ones, or with ``only_new`` those alone. With
+        ``expected_gen`` only if that is the newest one; ManifestConflict otherwise, and whenever another writer was faster.
+
+        ``batch`` and ``files`` say which batch of an ingest it holds and what that was made of; later generations keep the number."""
         known = self.generations(shard)
         newest = known[-1] if known else 0
         if expected_gen is not None and expected_gen != newest:
             raise ManifestConflict(f"shard {shard} is at generation {newest}, not {expected_gen}")
-        old = [] if only_new or not known else self.get(shard, newest)["segments"]
-        text = json.dumps({"segments": old + [s for s in segments if s not in old], "note": note})
-        if not self.files.create(f"manifest/{shard}/{newest + 1:020d}.json", text):
+        was = self.get(shard, newest) if known else {"segments": []}
+        old = [] if only_new else was["segments"]
+        held = set(old)
+        entry = {"segments": old + [s for s in segments if s not in held], "note": note}
+        if batch is not None or "batch" in was:
+            entry |= {"batch": batch if batch is not None else was["batch"], "files": files or []}
+        if not self.files.create(f"manifest/{shard}/{newest + 1:020d}.json", json.dumps(entry)):
             raise ManifestConflict(f"generation {newest + 1} of shard {shard} was committed by another writer")
         return newest + 1
 
-    def notes(self, shard: int) -> set[str]:
-        return {json.loads(self.files.read(f"manifest/{shard}/{g:020d}.json"))["note"] for g in self.generations(shard)}
+    def newest(self, shard: int) -> dict:
+        """The newest generation, or an empty one of number 0."""
+        known = self.generations(shard)
+        return self.get(shard, known[-1]) if known else {"shard": shard, "gen": 0, "segments": [], "note": ""}
 
     def migrate(self, text: str) -> None:
         """Takes over a manifest file of either layout; shards that have generations here already are an error."""
