@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def partitions(df: DataFrame, each: int = 64 << 20) -> int:
     """The session's shuffle partitions, or more if what ``df`` reads has over ``each`` bytes for one."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(x for x in sizes if x < 1 << 60)  # a plan whose size isn't known claims the greatest there is
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
 

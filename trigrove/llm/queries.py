@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrove.llm import chat, compression, containment, decontam, lines, packing, secrets, substrings, token_counts, warc
-from trigrove.llm.common import cut, shared_dir, table
+from trigrove.llm.common import cut, shared_dir, sifted, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str, tokenizers: str = token_c
     counted = cut(token_counts.count_tokens(docs, versions))
     toxic = labels.where("toxic = 1").select("doc_id")
     poor = labels.where("quality = 0 AND toxic = 0").select("doc_id").join(toxic, "doc_id", "left_anti")
-    revised = token_counts.count_tokens(docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", "0")), versions)
+    # texts aren't shuffled: those that may be poor are counted where they are, and only counts are joined
+    revised = token_counts.count_tokens(sifted(docs, "doc_id", poor).withColumn("text", F.regexp_replace("text", "[0-9]+", "0")), versions).join(poor, "doc_id", "left_semi")
     changes = {
         "inserts": token_counts.signed(counted, 1),
         "deletes": token_counts.signed(counted.join(toxic, "doc_id", "left_semi"), -1),
