@@ -225,7 +225,7 @@ def _(spark, sf):
 def _(spark, sf):
     # the longest run is the needle; where it doesn't occur, its longest prefix that does is marked
     t = _table(spark, sf, "documents").select("doc_id", normalized("text").alias("t")).where(F.col("t").contains("ention"))
-    return t.select("doc_id", preview(F.col("t"), compile_pattern("*the*ention#qx*"), "literal").alias("preview"))
+    return t.select("doc_id", preview(F.col("t"), compile_pattern("*the*ention☃qx*"), "literal").alias("preview"))
 
 
 @_query("preview_span", f"""
