@@ -4,10 +4,12 @@ Every passage of every document is a query; an item is retrieved when its score
 is at least a share of the score that the item gives itself. Scores are divided by that
 self-score, so one threshold serves all items and sums stay additive.
 
-The search has the three levels of block-max WAND, for all passages of a slice at once:
-a passage is dropped when the greatest contributions of its words sum to less than the
-threshold; a block of items when the block's maxima do; what is left is scored exactly.
-Bounds of a passage are sums over its two halves, which neighbouring passages share.
+The search is block-max WAND, for all passages of a slice at once. Of each segment the words
+that the benchmark has most often are set apart, as long as their contributions stay under a share of the threshold: a passage with none but
+those can't reach the threshold. The other words, the segment's pivots, have lists of
+blocks with the greatest contribution in each. Only these lists are read, which are the short ones: sums of a block's
+maxima, with what its common words could add, tell which blocks a passage can't do without. Blocks that
+no pivot leads to, or whose bound is too low, are skipped; what is left is scored exactly.
 
 Retrieved items are then verified: shares of the question's word n-grams and of the
 answer's words that occur in order-free form within the passage's surroundings.
@@ -35,7 +37,7 @@ class DecontamRules:
 
     ``threshold`` is the share of a segment's self-score. The answer is the last sentence of
     an item, extended to ``min_answer`` words; question and answer must overlap by
-    ``question`` and ``answer``. An index of more than ``max_postings`` entries is split by
+    ``question`` and ``answer``. Words stay apart from pivots up to ``common`` (under 1) of the threshold. An index of more than ``max_postings`` entries is split by
     items into shards which are searched one after the other, so the size that a task holds is bounded."""
 
     half: int = 64
@@ -46,7 +48,8 @@ class DecontamRules:
     question: float = 0.4
     answer: float = 0.5
     min_answer: int = 5
-    block: int = 4
+    block: int = 2
+    common: float = 0.6
     max_postings: int = 4_000_000
 
 
@@ -70,18 +73,27 @@ class Index:
 
     def __init__(self, items: list[tuple[int, np.ndarray, int]], rules: DecontamRules, df: dict[int, int], n_segments: int, mean: float) -> None:
         self.rules, self.items = rules, items
-        rows = []  # word, segment, contribution
-        self.owner = []
+        if not 0 <= rules.common < 1:
+            raise ValueError("common must be from 0 to under 1")
+        rows = []  # word, segment, contribution, whether it is a pivot
+        self.owner, rest = [], []
         for k, (_, h, _) in enumerate(items):
             for a, z in segments(len(h), rules.half):
                 words, tf = np.unique(h[a:z], return_counts=True)
                 idf = np.array([np.log(1 + (n_segments - df[int(w)] + 0.5) / (df[int(w)] + 0.5)) for w in words])
                 c = idf * tf * (rules.k1 + 1) / (tf + rules.k1 * (1 - rules.b + rules.b * (z - a) / mean))
-                rows.append((words, np.full(len(words), len(self.owner)), c / c.sum()))
+                c = c / c.sum()
+                often = np.lexsort((words, [-df[int(x)] for x in words]))
+                total = np.cumsum(c[often])
+                apart = int(np.searchsorted(total, rules.common * rules.threshold, side="right"))
+                pivot = np.ones(len(words), bool)
+                pivot[often[:apart]] = False
+                rest.append(total[apart - 1] if apart else 0.0)
+                rows.append((words, np.full(len(words), len(self.owner)), c, pivot))
                 self.owner.append(k)
-        w, s, c = (np.concatenate(x) if rows else np.zeros(0) for x in (zip(*rows) if rows else ((), (), ())))
+        w, s, c, pivot = (np.concatenate(x) if rows else np.zeros(0) for x in (zip(*rows) if rows else ((), (), (), ())))
         order = np.lexsort((s, w)) if len(w) else np.zeros(0, int)
-        w, s, c = w[order], s[order].astype(np.int64), c[order]
+        w, s, c, pivot = w[order], s[order].astype(np.int64), c[order], pivot[order].astype(bool)
         self.n_blocks = -(-max(1, len(self.owner)) // rules.block)
         self.vocab, first = np.unique(w, return_index=True)
         self.list_at = np.concatenate((first, [len(w)])).astype(np.int64)
@@ -90,9 +102,15 @@ class Index:
         block = s // rules.block
         new = np.concatenate(([True], (w[1:] != w[:-1]) | (block[1:] != block[:-1]))) if len(w) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        self.block_of, self.block_max = block[at], np.maximum.reduceat(c, at) if len(c) else c
         self.block_at = np.searchsorted(at, self.list_at)
-        self.entry_key = np.repeat(np.arange(len(self.vocab)), np.diff(self.block_at)) * self.n_blocks + self.block_of
+        self.entry_key = np.repeat(np.arange(len(self.vocab)), np.diff(self.block_at)) * self.n_blocks + block[at]
+        # lists of pivots only: for each word its blocks, with the greatest contribution of a pivot in each
+        best = np.maximum.reduceat(np.where(pivot, c, 0.0), at) if len(c) else c
+        some = np.flatnonzero(best > 0)
+        self.pivot_block, self.pivot_max = block[at][some], best[some]
+        self.pivot_at = np.searchsorted(some, self.block_at)
+        self.rest = np.zeros(self.n_blocks)
+        np.maximum.at(self.rest, np.arange(len(rest)) // rules.block, rest)
         self.post_at = np.concatenate((at, [len(w)])).astype(np.int64)
         self.grams = [np.unique(kernels.ngrams(h[:q], min(rules.gram, max(1, q)))) for _, h, q in items]
         self.answers = [np.unique(h[q:]) for _, h, q in items]
@@ -141,23 +159,32 @@ class Index:
         feeds[1:] |= alive[:-1] & ~last[: n - 1]
         keep = feeds[half]
         half, word = half[keep], word[keep]
-        step = max(1, (1 << 22) // self.n_blocks)
-        order_at = np.searchsorted(half, np.arange(0, n + step, step))
-        bounds = []
-        for i in range(len(order_at) - 1):
-            a, z = order_at[i], min(len(half), np.searchsorted(half, (i + 1) * step + 1))
-            if a >= z:
-                continue
-            ww, hh = word[a:z], half[a:z] - i * step
-            count = self.block_at[ww + 1] - self.block_at[ww]
-            entry = kernels.runs(self.block_at[ww], count)
-            m = min(step + 1, n - i * step)
-            ub = np.bincount(np.repeat(hh, count) * self.n_blocks + self.block_of[entry], self.block_max[entry], minlength=m * self.n_blocks).reshape(m, self.n_blocks)
-            both = ub.copy()
-            inner = ~last[i * step : i * step + m - 1]
-            both[:-1][inner] += ub[1:][inner]
-            p, blk = np.nonzero(both[: min(step, m)] >= rules.threshold - eps)
-            bounds.append((p + i * step, blk))
+        # sums of pivots' block maxima, only where there are any; a half is part of its own passage and of the one before
+        count = self.pivot_at[word + 1] - self.pivot_at[word]
+        total = np.concatenate(([0], np.cumsum(count)))
+        bounds, lo = [], 0
+        while lo < n:
+            first = int(np.searchsorted(half, lo))
+            # halves of up to so many entries at once, whole ones, and one half more for the last passage
+            upto = int(np.searchsorted(total, total[first] + (1 << 21), side="right")) - 1
+            hi = max(lo + 1, int(half[upto]) if upto < len(half) else n)
+            end = int(np.searchsorted(half, hi + 1))
+            some = np.arange(first, end)
+            entry = kernels.runs(self.pivot_at[word[some]], count[some])
+            own = np.repeat(half[some], count[some])
+            block, value = self.pivot_block[entry], self.pivot_max[entry]
+            before = (own > lo) & ~last[own - 1]
+            here = own < hi
+            key = np.concatenate((own[here] * self.n_blocks + block[here], (own[before] - 1) * self.n_blocks + block[before]))
+            value = np.concatenate((value[here], value[before]))
+            order = np.argsort(key, kind="stable")
+            key, value = key[order], value[order]
+            if len(key):
+                at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                p, blk = np.divmod(key[at], self.n_blocks)
+                ok = (np.add.reduceat(value, at) + self.rest[blk] >= rules.threshold - eps) & alive[p]
+                bounds.append((p[ok], blk[ok]))
+            lo = hi
         if not bounds:
             return []
         p, blk = (np.concatenate(x) for x in zip(*bounds))
@@ -180,6 +207,7 @@ class Index:
                 i = int(pp[x // rules.block])
                 seg = int(bb[x // rules.block]) * rules.block + int(x % rules.block)
                 found.setdefault((int(row_of_half[i]), self.owner[seg]), []).append((float(score[x]), i))
+        around: dict[int, np.ndarray] = {}
         for (r, k), hits in found.items():
             _, h, q = self.items[k]
             grams, answer = self.grams[k], self.answers[k]
@@ -188,9 +216,11 @@ class Index:
             for _, i in hits:
                 a = int(w.splits[r] + (i - half_at[r]) * rules.half)
                 lo, hi = max(int(w.splits[r]), a - near), min(int(w.splits[r + 1]), a + 2 * rules.half + near)
-                text = w.hashes[lo:hi]
-                q_hits = int(np.isin(grams, kernels.ngrams(text, min(rules.gram, max(1, q)))).sum()) if len(grams) else 0
-                a_hits = int(np.isin(answer, text).sum())
+                size = min(rules.gram, max(1, q))
+                if size not in around:
+                    around[size] = kernels.ngrams(w.hashes, size)
+                q_hits = held(grams, around[size][lo : max(lo, hi - size + 1)])
+                a_hits = held(answer, w.hashes[lo:hi])
                 if q_hits >= rules.question * len(grams) and a_hits >= rules.answer * len(answer):
                     passed.append((q_hits, a_hits))
             if passed:
@@ -198,6 +228,14 @@ class Index:
         return best
 
 
+def held(wanted: np.ndarray, there: np.ndarray) -> int:
+    """How many of the sorted distinct entries ``wanted`` are in ``there``."""
+    if not len(wanted) or not len(there):
+        return 0
+    k = np.minimum(np.searchsorted(wanted, there), len(wanted) - 1)
+    return int(np.count_nonzero(np.bincount(k[wanted[k] == there], minlength=1)))
+
+
 def distinct(a: np.ndarray) -> np.ndarray:
     """Sorted distinct entries."""
     a = np.sort(a)

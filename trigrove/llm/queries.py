@@ -14,7 +14,7 @@ from trigrove.llm.common import cut, shared_dir, sifted, table
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "question_hits", "question_grams", "answer_hits", "answer_words")
+    return found.select("doc_id", "item_id", F.round("score", 4).alias("score"), "question_hits", "question_grams", "answer_hits", "answer_words")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,21 +110,29 @@ def _secret_sql() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    # the overlap rule over all pairs, without an index
+    # BM25 of all passages against all segments, without an index, and the overlap rule around those that reach the threshold
     "op1_decontamination": f"""
-        WITH b AS (SELECT item_id, text, {_WORDS.format("text")} AS ws, len({_WORDS.format("regexp_extract(rtrim(text, ' ' || chr(10)), '(?s)^(?:.*[.?!][ ' || chr(10) || '])?(.*)$', 1)")}) AS last FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-        p AS (SELECT item_id, ws, len(ws) - greatest(CASE WHEN len(ws) - last < 3 THEN 0 ELSE last END, least(5, len(ws) // 2), CASE WHEN len(ws) > 1 THEN 1 ELSE 0 END) AS q FROM b WHERE len(ws) > 0),
-        ig AS (SELECT DISTINCT item_id, ws[CAST(i AS INTEGER)] || ' ' || ws[CAST(i AS INTEGER) + 1] || ' ' || ws[CAST(i AS INTEGER) + 2] AS g FROM (SELECT item_id, ws, unnest(range(1, q - 1)) AS i FROM p WHERE q >= 3)),
-        ia AS (SELECT DISTINCT item_id, unnest(list_slice(ws, q + 1, len(ws))) AS a FROM p),
-        gs AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id), "as" AS (SELECT item_id, count(*) AS n FROM ia GROUP BY item_id),
+        WITH b AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        bw AS (SELECT row_number() OVER (ORDER BY item_id, text) AS k, item_id, {_WORDS.format("text")} AS ws, len({_WORDS.format("regexp_extract(rtrim(text, ' ' || chr(10)), '(?s)^(?:.*[.?!][ ' || chr(10) || '])?(.*)$', 1)")}) AS last FROM b),
+        p AS (SELECT k, item_id, ws, len(ws) AS n, len(ws) - CASE WHEN len(ws) - last < 3 THEN greatest(least(5, len(ws) // 2), CASE WHEN len(ws) > 1 THEN 1 ELSE 0 END) ELSE greatest(last, least(5, len(ws) // 2), CASE WHEN len(ws) > 1 THEN 1 ELSE 0 END) END AS q FROM bw WHERE len(ws) > 0),
+        sa AS (SELECT k, ws, n, unnest(CASE WHEN n <= 64 THEN [0] ELSE list_append([i * 64 FOR i IN range((n - 65) // 64 + 1)], n - 64) END) AS a FROM p),
+        sg AS (SELECT row_number() OVER (ORDER BY k, a) AS seg, k, least(64, n) AS len, list_slice(ws, CAST(a AS INTEGER) + 1, CAST(a AS INTEGER) + 64) AS sw FROM sa),
+        tf AS (SELECT seg, k, len, w, count(*) AS tf FROM (SELECT seg, k, len, unnest(sw) AS w FROM sg) GROUP BY ALL),
+        df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+        m AS (SELECT count(*) AS n, avg(len) AS mean FROM sg),
+        c AS (SELECT seg, k, tf.w, ln(1 + (m.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS c FROM tf JOIN df ON tf.w = df.w CROSS JOIN m),
+        part AS (SELECT seg, k, w, c / sum(c) OVER (PARTITION BY seg) AS c FROM c),
         d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL),
-        dg AS (SELECT DISTINCT doc_id, ws[CAST(i AS INTEGER)] || ' ' || ws[CAST(i AS INTEGER) + 1] || ' ' || ws[CAST(i AS INTEGER) + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
-        dw AS (SELECT DISTINCT doc_id, unnest(ws) AS a FROM d),
-        qh AS (SELECT doc_id, item_id, count(*) AS n FROM ig JOIN dg USING (g) GROUP BY doc_id, item_id),
-        near AS (SELECT qh.doc_id, qh.item_id, qh.n, gs.n AS total FROM qh JOIN gs USING (item_id) WHERE qh.n >= 0.4 * gs.n),
-        ah AS (SELECT near.doc_id, near.item_id, near.n, near.total, count(dw.a) AS m FROM near JOIN ia USING (item_id) LEFT JOIN dw ON dw.doc_id = near.doc_id AND dw.a = ia.a GROUP BY ALL)
-        SELECT ah.doc_id, ah.item_id, CAST(ah.n AS INTEGER) AS question_hits, CAST(ah.total AS INTEGER) AS question_grams, CAST(m AS INTEGER) AS answer_hits, CAST("as".n AS INTEGER) AS answer_words
-        FROM ah JOIN "as" USING (item_id) WHERE m >= 0.5 * "as".n""",
+        ps AS (SELECT doc_id, ws, unnest(range((len(ws) + 63) // 64)) AS i FROM d WHERE len(ws) > 0),
+        pw AS (SELECT DISTINCT doc_id, i, unnest(list_slice(ws, CAST(i AS INTEGER) * 64 + 1, CAST(i AS INTEGER) * 64 + 128)) AS w FROM ps),
+        sc AS (SELECT doc_id, i, seg, k, sum(c) AS score FROM pw JOIN part USING (w) GROUP BY doc_id, i, seg, k HAVING sum(c) >= 0.5 - 1e-9),
+        hit AS (SELECT doc_id, k, i, max(score) AS score FROM sc GROUP BY doc_id, k, i),
+        win AS (SELECT hit.*, p.item_id, p.ws AS iw, p.q, list_slice(d.ws, CAST(greatest(0, i * 64 - greatest(128, p.n)) AS INTEGER) + 1, CAST(i * 64 + 128 + greatest(128, p.n) AS INTEGER)) AS dw, CAST(least(3, greatest(1, p.q)) AS INTEGER) AS g FROM hit JOIN p ON p.k = hit.k JOIN d ON d.doc_id = hit.doc_id),
+        gr AS (SELECT *, list_distinct([array_to_string(list_slice(iw, CAST(j AS INTEGER), CAST(j AS INTEGER) + g - 1), ' ') FOR j IN range(1, q - g + 2)]) AS ig, [array_to_string(list_slice(dw, CAST(j AS INTEGER), CAST(j AS INTEGER) + g - 1), ' ') FOR j IN range(1, len(dw) - g + 2)] AS dg, list_distinct(list_slice(iw, CAST(q AS INTEGER) + 1, CAST(len(iw) AS INTEGER))) AS ans FROM win),
+        v AS (SELECT doc_id, item_id, k, score, len(list_intersect(ig, dg)) AS qh, len(ig) AS qn, len(list_intersect(ans, dw)) AS ah, len(ans) AS an FROM gr),
+        best AS (SELECT doc_id, k, max(CASE WHEN qh >= 0.4 * qn AND ah >= 0.5 * an THEN qh * 1000000 + ah END) AS best, max(score) AS score FROM v GROUP BY doc_id, k)
+        SELECT DISTINCT v.doc_id, v.item_id, round(best.score, 4) AS score, CAST(qh AS INTEGER) AS question_hits, CAST(qn AS INTEGER) AS question_grams, CAST(ah AS INTEGER) AS answer_hits, CAST(an AS INTEGER) AS answer_words
+        FROM best JOIN v ON v.doc_id = best.doc_id AND v.k = best.k AND v.qh * 1000000 + v.ah = best.best AND qh >= 0.4 * qn AND ah >= 0.5 * an""",
     "op2_secret_scan": _secret_sql(),
     # every run of 50 words, and the links between those that repeat
     "op3_substring_dedup": f"""
