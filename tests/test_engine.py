@@ -207,7 +207,7 @@ def test_pages_go_on_past_every_cap(engine, spark, tmp_path):
     m = Manifest(spark, engine.config.root)
     m.append(0, [seg, other])
     want = [str(k) for k in range(1, 2200, 2)] + [str(k) for k in range(2190, 2210) if k >= 2200 or k % 2 == 0]
-    for size, caps in ((400, {}), (900, {"max_candidates": 300}), (2000, {"segment_hits": 250})):
+    for size, caps in ((400, {}), (900, {"max_candidates": 900}), (2000, {"segment_hits": 500})):
         got = pages(engine, wildcard="*needle*", size=size, **caps)
         assert [i for page in got for i in page] == want and all(len(p) == size for p in got[:-1])
 
@@ -324,3 +324,25 @@ def test_only_one_of_two_writers_of_a_key_lands(engine):
     i.drain()
     rows, _ = i.manifest.resolve()
     assert sorted(r.ext_id for r in documents.open_segments(engine.spark, rows).collect()) == ["a", "c"]
+
+
+def test_an_index_leads_to_the_same_hits(engine, tmp_path):
+    src = tmp_path / "docs.jsonl"
+    src.write_text("".join(json.dumps({"_id": str(k), "t": f"common words and number{k}", "u": "rare" if k == 7 else "none"}) + "\n" for k in range(300)))
+    with_it = engine.build_segment(str(src), f"{tmp_path}/with", postings=True)
+    without = engine.build_segment(str(src), f"{tmp_path}/without")
+    for pattern, field in (("*number29?*", None), ("*rare*", "u"), ("*rare*", "t"), ("*common*", None), ("*no such thing*", None)):
+        got = [engine.search_segment(s, pattern, field, limit=500).collect() for s in (with_it, without)]
+        assert got[0] == got[1]
+    plan = engine.search_segment(with_it, "*rare*")._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "EqualTo(doc_id,7)" in plan
+
+
+def test_a_sealed_segment_tells_what_it_should_hold(engine, spark, tmp_path):
+    src = tmp_path / "docs.jsonl"
+    src.write_text("".join(json.dumps(d, ensure_ascii=False) + "\n" for d in PETS))
+    seg = engine.build_segment(str(src), f"{tmp_path}/seg")
+    assert engine.verify_segment(seg)["n_docs"] == 3
+    spark.read.parquet(seg).limit(1).write.mode("append").parquet(seg)
+    with pytest.raises(documents.Damaged):
+        engine.verify_segment(seg)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -144,3 +145,26 @@ def content_hash(docs: DataFrame) -> DataFrame:
     """segment and a hash of its documents, whatever their order in the files."""
     entries = F.array_sort(F.map_entries("fields"))
     return docs.groupBy("segment").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.xxhash64("doc_id", "ext_id", entries).cast("decimal(20,0)")).cast("string").alias("content_hash"))
+
+
+class Damaged(ValueError):
+    """A segment isn't what its catalog says."""
+
+
+def seal(spark: SparkSession, path: str) -> dict:
+    """Writes the catalog of a segment: its number of documents and the hash of their contents."""
+    docs = open_segments(spark, [(0, 0, 0, path)])
+    row = content_hash(docs).first()
+    entry = {"n_docs": row.n_docs, "content_hash": row.content_hash} if row else {"n_docs": 0, "content_hash": "0"}
+    Files(spark, path).replace("_catalog.json", json.dumps(entry))
+    return entry
+
+
+def verify(spark: SparkSession, path: str) -> dict:
+    """The catalog of a sealed segment; Damaged if the documents that are there are others."""
+    entry = json.loads(Files(spark, path).read("_catalog.json"))
+    row = content_hash(open_segments(spark, [(0, 0, 0, path)])).first()
+    found = (row.n_docs, row.content_hash) if row else (0, "0")
+    if found != (entry["n_docs"], entry["content_hash"]):
+        raise Damaged(f"{path}: {found[0]} documents with the hash {found[1]}, the catalog has {entry['n_docs']} and {entry['content_hash']}")
+    return entry
