@@ -223,11 +223,27 @@ def test_repeated_spans(spark, rng):
         spans = {tuple(texts[r.doc_id][r.start_word : r.start_word + r.n_words]) for r in occurrences}
         assert len(spans) == 1 and len(occurrences) == occurrences[0].copies >= 2
         first = min((r.doc_id, r.start_word) for r in occurrences)
+        assert {r.across for r in occurrences} == {len({r.doc_id for r in occurrences}) > 1}
         assert [(r.doc_id, r.start_word) for r in occurrences if r.is_first] == [first]
     assert {20, 21, 22} <= {r.doc_id for r in got} and not {23, 25} & {r.doc_id for r in got}
     assert substrings.repeated_spans(table(spark, rows).limit(0)).count() == 0
 
 
+def test_hot_minimizers_give_the_same_spans(spark, rng, monkeypatch):
+    passage = prose(rng, 70)
+    rows = [(k, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for k in range(30)] + [(40, "ab cd " * 80), (41, passage), (41, passage)]
+    d = table(spark, rows)
+
+    def spans():
+        got = substrings.repeated_spans(d).collect()
+        return sorted((r.doc_id, r.start_word, r.n_words, r.copies, r.first_doc, r.first_word, r.is_first, r.across) for r in got)
+
+    whole = spans()
+    assert substrings._minimizers(d.selectExpr("text"), 50).where("n > 4").count() > 0
+    monkeypatch.setattr(substrings, "_fills", lambda total, partitions: 4)
+    assert spans() == whole and len(whole) > 30
+
+
 # 4
 
 

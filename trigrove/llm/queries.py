@@ -145,8 +145,8 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT *, CASE WHEN coalesce(lag(single) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 0 ELSE 1 END AS head FROM s),
         g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chain FROM e),
         r AS (SELECT doc_id, min(pos) - 1 AS start, count(*) + 49 AS n, min(copies) AS copies, min(CASE WHEN head = 1 THEN h END) AS h FROM g GROUP BY doc_id, chain),
-        f AS (SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(start) OVER o AS first_start FROM r WINDOW o AS (PARTITION BY h ORDER BY doc_id, start))
-        SELECT doc_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, copies, first_doc, CAST(first_start AS INTEGER) AS first_word, doc_id = first_doc AND start = first_start AS is_first FROM f""",
+        f AS (SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(start) OVER o AS first_start, max(doc_id) OVER (PARTITION BY h) AS last_doc FROM r WINDOW o AS (PARTITION BY h ORDER BY doc_id, start))
+        SELECT doc_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, copies, first_doc, CAST(first_start AS INTEGER) AS first_word, doc_id = first_doc AND start = first_start AS is_first, first_doc < last_doc AS across FROM f""",
     # all links by their shared shingles; the search is approximate, it finds all of them in these documents
     "op6_near_duplicates": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),

@@ -32,6 +32,11 @@ HOT = 50_000
 _SIEVE_BITS = 27
 
 
+def _fills(total: int, partitions: int) -> int:
+    """From how many occurrences on a minimizer is hot. Of ``total`` occurrences at most four for each partition have as many, so their list is short."""
+    return max(HOT, total // (4 * partitions))
+
+
 class _Runs(NamedTuple):
     """K-mers of a slice in runs of equal minimizers: of each run the minimizer, row, first word and number of k-mers."""
 
@@ -233,12 +238,12 @@ def _read_again(paths: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per occurrence of a repeated span: doc_id, start_word, n_words, path, copies, first_doc, first_word, is_first.
+    """One row per occurrence of a repeated span: doc_id, start_word, n_words, path, copies, first_doc, first_word, is_first, across.
 
     A word is covered if and only if it is in a run of ``min_words`` words that the corpus holds at least twice, in
     one document or in several. Each row is an occurrence of a nonbranching path of the graph:
     all ``copies`` occurrences of a path (equal ``path``) hold the same ``n_words`` words, and the first one by
-    doc_id and position is is_first. Where a longer repeat and a shorter one share
+    doc_id and position is is_first; across tells whether several documents have it, or one document repeats itself. Where a longer repeat and a shorter one share
     words they are paths apart, which overlap by ``min_words`` - 1 words. Words are compared in lower case without punctuation.
     K-mers are told apart by 64-bit hashes, the words of whole spans by a second hash of 64 bits; occurrences that
     differ in it are paths apart, and copies counts those that agree in both.
@@ -252,15 +257,14 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     counts = cut(_minimizers(d, min_words))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # at most four for each partition, so the list is short; what is left of any one fits a partition
-    most = max(HOT, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    most = _fills(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = np.array([r.mz for r in counts.where(F.col("n") > most).select("mz").collect()], np.int64).view(np.uint64)
     pieces = _pieces(_routed(d, min_words, spark.sparkContext.broadcast(_sieve(counts)), hot))
     if len(hot):
         pieces = pieces.unionByName(_hot_pieces(d, min_words, hot))
     paths = kept(_paths(kept(pieces)))
     rows = _read_again(paths, d, min_words).distinct()
-    same = rows.groupBy("path", "n", "seen").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start")).alias("first")).where("copies > 1")
+    same = rows.groupBy("path", "n", "seen").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("copies > 1")
     good = rows.join(same, ["path", "n", "seen"])
     return good.select(
         "doc_id",
@@ -271,4 +275,5 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         F.col("first.doc_id").alias("first_doc"),
         F.col("first.start").alias("first_word"),
         ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("is_first"),
+        (F.col("first.doc_id") < F.col("last")).alias("across"),
     )
