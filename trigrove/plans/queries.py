@@ -421,7 +421,7 @@ def _(spark, sf):
     return _pages(spark, engine, wildcard="*ention*", size=120, segment_hits=100)
 
 
-@_query("hot_union", f"WITH {_ITEMS} SELECT ext_id, 'text.body' AS matched_field FROM i WHERE body LIKE '%ter%'")
+@_query("hot_union", f"WITH {_ITEMS} SELECT ext_id, 'text.body' AS matched_field FROM i WHERE body LIKE '%ent%'")
 def _(spark, sf):
     """Pages over documents of which half are in a segment and half are hot; between two pages all are committed."""
     engine = Engine(spark, Config(root=shared_folder(spark)))
@@ -430,9 +430,9 @@ def _(spark, sf):
         if k == len(batches) // 2:
             engine.ingestor.drain()
         engine.ingest(batch, key=f"batch-{k}")
-    first = engine.search(SearchRequest("*ter*", field="text.body", size=max(1, sum(map(len, batches)) // 4)))
+    first = engine.search(SearchRequest("*ent*", field="text.body", size=3))
     engine.ingestor.drain()
-    rest = engine.search(SearchRequest("*ter*", field="text.body", size=10_000, cursor=first["cursor"]))
+    rest = engine.search(SearchRequest("*ent*", field="text.body", size=10_000, cursor=first["cursor"]))
     return spark.createDataFrame([(h["ext_id"], h["matched_field"]) for h in first["hits"] + rest["hits"]], "ext_id string, matched_field string")
 
 
