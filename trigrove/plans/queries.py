@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrove.functions.pattern import compile_pattern
-from trigrove.functions.preview import literal_preview, preview, span_preview, truncated
+from trigrove.functions.preview import label_field, literal_preview, preview, span_preview, truncated
 from trigrove.functions.text import flatten_fields, gram_rows, normalized
 from trigrove.operators import index, search
 from trigrove.plans.engine import Config, Engine, SearchRequest
@@ -504,3 +504,50 @@ def _(spark, sf):
     ingestor.drain()
     found, _ = ingestor.manifest.resolve()
     return documents.open_segments(spark, found).select("ext_id", F.col("fields")["text.body"].alias("body"))
+
+
+def _jsonl(spark, sf) -> str:
+    """The documents as JSON lines: _id, lang and a nested text."""
+    folder = f"{shared_folder(spark)}/lines"
+    d = _table(spark, sf, "documents")
+    row = F.struct(F.col("doc_id").cast("string").alias("_id"), F.col("doc_id").alias("n"), F.col("lang"), F.struct(F.col("text").alias("body")).alias("text"))
+    d.select(F.to_json(row).alias("value")).write.text(folder)
+    return folder
+
+
+@_query("jsonl_scan", f"SELECT CAST(doc_id AS VARCHAR) AS ext_id, {_N.format('lang')} AS lang, {_TEXT} AS body FROM documents")
+def _(spark, sf):
+    f = F.col("fields")
+    return documents.read_jsonl(spark, _jsonl(spark, sf), strict_id=True).select("ext_id", f["lang"].alias("lang"), f["text.body"].alias("body"))
+
+
+_SEGMENT_HITS = f"SELECT CAST(doc_id AS VARCHAR) AS ext_id, 'text.body' AS matched_field FROM documents WHERE {_TEXT} LIKE '%{{}}%'"
+
+
+@_query("indexed_segment", _SEGMENT_HITS.format("ention%rie"))
+def _(spark, sf):
+    """A segment that is built with its index, checked against its catalog and searched by way of both."""
+    engine = Engine(spark, Config(root=shared_folder(spark)))
+    path = engine.build_segment(_jsonl(spark, sf), f"{engine.config.root}/made", postings=True)
+    engine.verify_segment(path)
+    return engine.search_segment(path, "*ention*rie*", limit=1_000_000).select("ext_id", "matched_field")
+
+
+@_query("legacy_segment", _SEGMENT_HITS.format("ention"))
+def _(spark, sf):
+    """A segment of the older layout, whose format is found out."""
+    engine = Engine(spark, Config(root=shared_folder(spark)))
+    d = documents.from_table(_table(spark, sf, "documents"), {"text.body": "text"}, F.col("doc_id").cast("string"))
+    d.select(F.col("doc_id").cast("int").alias("doc_id"), "ext_id", "fields").write.json(f"{engine.config.root}/old/docs.jsonl")
+    return engine.search_segment(f"{engine.config.root}/old", "*ention*", limit=1_000_000).select("ext_id", "matched_field")
+
+
+@_query("preferred_preview", f"""
+    WITH p AS (SELECT doc_id, CASE WHEN {_TEXT} <> '' AND doc_id % 2 = 0 THEN {_TEXT} ELSE {_N.format('lang')} END AS v FROM documents)
+    SELECT doc_id, CASE WHEN length(v) > 60 THEN substr(v, 1, 60) || '…' ELSE v END AS preview FROM p""")
+def _(spark, sf):
+    """What is shown of a document that has a body, and of one that has only other fields: the first of them by name."""
+    d = _table(spark, sf, "documents").withColumn("body", F.when(F.col("doc_id") % 2 == 0, F.col("text")))
+    f = F.col("fields")
+    d = documents.from_table(d, {"lang": "lang", "source": "source", "text.body": "body"}, F.lit(""))
+    return d.select("doc_id", preview(f[label_field(f)], compile_pattern("*", True), "plain", 60).alias("preview"))
