@@ -412,6 +412,28 @@ def test_large_buckets_are_searched_in_blocks(spark, rng, monkeypatch):
     assert near_rows(containment.near_classes(d, rules).collect()) == want
 
 
+def test_classes_of_many_near_copies_need_few_pairs(spark, rng, monkeypatch):
+    rows, body = [], prose(rng, 120).split(" ")
+    for k in range(400):
+        w = list(body)
+        for _ in range(4):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(1000 + k, " ".join(body[: 70 + k] + prose(rng, 60).split(" "))) for k in range(0, 50, 5)]  # sketches like those, linked to some
+    rows += messy(rng)
+    rules = containment.ContainmentRules()
+    want = {i: c[0] for i, c in brute_near(rows, rules)[0].items()}
+    compared = []
+    verify = containment._verify
+    monkeypatch.setattr(containment, "_verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    assert {r.doc_id: r.class_id for r in containment.near_groups(table(spark, rows), rules).collect()} == want
+    assert sum(compared) < 400 * 400 / 8  # nearly all of their 400 * 399 / 2 pairs are alike
+    for few, block in ((8, 16), (1, 64)):
+        monkeypatch.setattr(containment, "_FEW", few)
+        monkeypatch.setattr(containment, "_BLOCK", block)
+        assert {r.doc_id: r.class_id for r in containment.near_groups(table(spark, rows), rules).collect()} == want
+
+
 def test_probes_find_what_they_must():
     rules = containment.ContainmentRules()
     for size in range(1, 129):
