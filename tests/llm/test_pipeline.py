@@ -104,6 +104,16 @@ def test_stages_equal_brute_force(spark, corpus, tmp_path):
         before = after
 
 
+def test_near_dedup_follows_what_earlier_stages_took_out(spark, tmp_path):
+    w = prose(random.Random(3), 150).split(" ")
+    rows = [(1, " ".join(w[:100])), (2, " ".join(w[25:125])), (3, " ".join(w[50:]))]  # 2 is linked to both others, which aren't linked
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda d: sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, str(tmp_path)).collect())
+    assert ids(docs) == [1]
+    assert ids(docs.where("doc_id <> 2")) == [1, 3]
+
+
 def test_run_and_empty_tables(spark, corpus, tmp_path):
     folder, _ = corpus
     assert corpus_pipeline.run(spark, folder).count() > 0
