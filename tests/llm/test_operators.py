@@ -244,6 +244,20 @@ def test_hot_minimizers_give_the_same_spans(spark, rng, monkeypatch):
     assert spans() == whole and len(whole) > 30
 
 
+def test_a_hot_passage_makes_few_pieces(spark, rng):
+    passage = prose(rng, 300)
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(20))
+    rows = [(k, f"{own(k)} {passage} {own(k)}") for k in range(30)]
+    d = table(spark, rows).select("doc_id", "text")
+    hot = np.array([r.mz for r in substrings._minimizers(d.select("text"), 50).where("n > 4").collect()], np.int64).view(np.uint64)
+    for more, copies in (([], 30), ([(40, passage), (40, passage), (40, passage + " end")], 31)):
+        got = substrings._hot_pieces(table(spark, rows + more).select("doc_id", "text"), 50, hot).collect()
+        have = collections.Counter((r.doc_id, r.start + j) for r in got for j in range(r.n))
+        assert max(have.values()) == 1 and {r.copies for r in got} == {copies}
+        assert all(sum(1 for i, _ in have if i == doc) == 251 for doc in range(30))
+        assert more or len(got) < 30 * 251 / 5
+
+
 # 4
 
 

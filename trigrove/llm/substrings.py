@@ -8,8 +8,8 @@ occurrence of the one goes on to the other. Chains within a minimizer's run are
 found, into pieces; pieces are joined to whole paths through Spark joins on their links. Last, the
 words at the source coordinates of each path are read again and compared, by hashes of another make.
 
-A minimizer that would fill a partition by itself isn't gathered: its k-mers are counted by
-an aggregation that begins where they are, and each repeated one is a piece.
+A minimizer that would fill a partition by itself isn't gathered: its distinct runs are counted where they
+are, and only their k-mers, each run's once, are counted and compacted by aggregations.
 """
 
 from __future__ import annotations
@@ -178,27 +178,88 @@ def _pieces(routed: DataFrame) -> DataFrame:
     return routed.repartition("mz").sortWithinPartitions("mz", "doc_id", "start").mapInArrow(run, _PIECE)
 
 
-def _hot_pieces(docs: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
-    """The same of the k-mers of hot minimizers, each a piece by itself."""
+_RUN = "run long, doc_id long, start int, kmers binary"
+
+
+def _hot_runs(docs: DataFrame, k: int, hot: np.ndarray, single: bool) -> DataFrame:
+    """run (a hash of its k-mers), doc_id and start of the runs of hot minimizers; kmers of the first one of each slice. With ``single`` each k-mer is a run, and has kmers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for w in kernels.words(b.column(1)):
                 r = _runs(w, k)
-                if r is None:
+                keep = np.isin(r.mz, hot) if r is not None else np.zeros(0, bool)
+                if not keep.any():
                     continue
-                keep = np.isin(r.mz, hot)
-                n = r.n[keep]
-                row = np.repeat(r.row[keep], n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.kmers[np.repeat(keep, r.n)].view(np.int64)), pa.array(ids[w.rows[0] + row]), pa.array(kernels.runs(r.start[keep], n).astype(np.int32))],
-                    names=["h", "doc_id", "start"],
-                )
+                n, row, start = r.n[keep], r.row[keep], r.start[keep]
+                key = r.kmers[np.repeat(keep, r.n)]
+                if single:
+                    row, start, n = np.repeat(row, n), kernels.runs(start, n), np.ones(len(key), np.int64)
+                name = kernels.spans(key, np.cumsum(n) - n, n)
+                _, first = np.unique(name, return_index=True)
+                sent = np.zeros(len(n), bool)
+                sent[slice(None) if single else first] = True
+                blob = kernels.binary(key[np.repeat(sent, n)], n[sent])
+                blob = blob.take(pa.array(np.cumsum(sent) - 1, mask=~sent))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[w.rows[0] + row]), pa.array(start.astype(np.int32)), blob], names=["run", "doc_id", "start", "kmers"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _RUN)
 
-    rows = docs.mapInArrow(run, "h long, doc_id long, start int").distinct()
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1")
-    return rows.join(repeated, "h").select(F.xxhash64("h").alias("piece"), "doc_id", "start", F.lit(1).alias("n"), "copies")
+
+def _hot_pieces(docs: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
+    """The same of the k-mers of hot minimizers.
+
+    What makes a minimizer hot is mostly a passage that very many documents have, so their runs hold the same
+    k-mers. These are counted and compacted once for each distinct run, by aggregations over its k-mers, and no task gathers a minimizer.
+    """
+
+    def kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = b.column(1).to_pylist()
+            n = np.array([len(x) // 8 for x in blobs], np.int64)
+            key = np.frombuffer(b"".join(blobs), np.int64)
+            last = np.zeros(len(key), bool)
+            last[np.cumsum(n) - 1] = True
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            pos = kernels.runs(np.zeros(len(n), np.int64), n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(pos), b.column(2).take(take), pa.array(key), pa.array(np.roll(key, -1), mask=last)], names=["run", "pos", "w", "h", "follow"])
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the repeated k-mers of each run, in order, to pieces
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            pos, key, copies, goes_on = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            linked = np.zeros(len(pos), bool)
+            linked[1:] = (row[1:] == row[:-1]) & (pos[1:] == pos[:-1] + 1) & goes_on[:-1] & (copies[1:] == copies[:-1])
+            head = np.flatnonzero(~linked)
+            length = np.diff(np.concatenate((head, [len(pos)])))
+            piece = kernels.mix64(key[head].view(np.uint64) + length.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row[head])), pa.array(pos[head]), pa.array(piece.view(np.int64)), pa.array(length.astype(np.int32)), pa.array(copies[head].astype(np.int32))],
+                names=["run", "at", "piece", "n", "copies"],
+            )
+
+    # texts of one id may have other runs at the same coordinates, whose k-mers count once; a passage that such texts hold stays in single k-mers
+    twice = cut(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        rows = _hot_runs(docs, k, hot, False)
+    else:
+        rows = _hot_runs(docs.join(twice, "doc_id", "left_semi"), k, hot, True).dropDuplicates(["run", "doc_id", "start"])
+        rows = rows.unionByName(_hot_runs(docs.join(twice, "doc_id", "left_anti"), k, hot, False))
+    rows = kept(rows)
+    runs = rows.where("kmers IS NOT NULL").groupBy("run").agg(F.max("kmers").alias("kmers")).join(rows.groupBy("run").agg(F.count(F.lit(1)).alias("w")), "run")
+    each = kept(runs.select("run", "kmers", "w").mapInArrow(kmers, "run long, pos int, w long, h long, follow long"))
+    ends = F.count(F.lit(1)) > F.count("follow")
+    stats = each.groupBy("h").agg(F.sum("w").alias("copies"), (~ends & (F.min("follow") == F.max("follow"))).alias("goes_on")).where("copies > 1")
+    repeated = each.select("run", "pos", "h").join(stats, "h").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "copies", F.coalesce("goes_on", F.lit(False)).alias("goes_on")))).alias("all"))
+    pieces = repeated.mapInArrow(compact, "run long, at int, piece long, n int, copies int")
+    return rows.select("run", "doc_id", "start").join(pieces, "run").select("piece", "doc_id", (F.col("start") + F.col("at")).alias("start"), "n", "copies")
 
 
 def _paths(pieces: DataFrame) -> DataFrame:
