@@ -426,6 +426,45 @@ def test_large_buckets_are_searched_in_blocks(spark, rng, monkeypatch):
     assert near_rows(containment.near_classes(d, rules).collect()) == want
 
 
+def test_links_of_popular_sets_need_no_pairs(spark, rng, monkeypatch):
+    rules = containment.ContainmentRules()
+    rows = messy(rng)
+    short, long = prose(rng, 90).split(" "), prose(rng, 260).split(" ")
+    for k in range(220):
+        w = list(short if k % 2 else long)
+        for _ in range(4):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(400 + k, " ".join(long[40 * k : 40 * k + 30])) for k in range(5)]  # parts of over a hundred texts
+    rows += [(500 + k, " ".join(short + prose(rng, 40 * k).split(" ") + long[:100])) for k in range(6)]  # linked to some, within and beyond the ratio
+    rows += [(100, prose(rng, 500) + " " + " ".join(long)), (411, rows[-11][1]), (600, prose(rng, 40)), (601, rows[-1][1])]
+    want, sets = brute_near([r for r in rows if r[0] != 100 or len(r[1].split()) < 400], rules)
+    compared = []
+    verify = containment._verify
+    monkeypatch.setattr(containment, "_verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    docs = table(spark, rows)
+    assert near_rows(containment.near_classes(docs, rules).collect()) == want
+    assert sum(compared) < 1000 < 10_000 < sum({sets[i]: x[2] for i, x in want.items()}.values()) // 2
+    # where few sets fit the index or none, the others' pairs are listed and links are the same
+    for most, shingles in ((60, 1 << 21), (8192, 3000), (0, 1 << 21)):
+        compared.clear()
+        monkeypatch.setattr(containment, "_POPULAR_SETS", most)
+        monkeypatch.setattr(containment, "_POPULAR_SHINGLES", shingles)
+        monkeypatch.setattr(containment, "_PAIRS_AT_ONCE", 500)
+        got = near_rows(containment.near_classes(docs, rules).collect())
+        assert got.keys() == want.keys() and all(got[i][:2] == x[:2] and got[i][2] <= x[2] for i, x in want.items())
+        assert sum(x[2] for x in got.values()) >= 0.99 * sum(x[2] for x in want.values()) and sum(compared) > 5000
+
+
+def test_numbered_rows_are_found_again(spark):
+    from trigrove.llm.common import chosen, numbered
+
+    df = numbered(spark.range(0, 100_000, 1, 3).withColumnRenamed("id", "x"), "at")
+    some = df.where("x % 7 = 3").select("at")
+    assert sorted(r.x for r in chosen(df, "at", some).select("x").collect()) == list(range(3, 100_000, 7))
+    assert chosen(df, "at", some.limit(0)).count() == 0
+
+
 def test_classes_of_many_near_copies_need_few_pairs(spark, rng, monkeypatch):
     rows, body = [], prose(rng, 120).split(" ")
     for k in range(400):
