@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -465,6 +466,30 @@ def test_numbered_rows_are_found_again(spark):
     assert chosen(df, "at", some.limit(0)).count() == 0
 
 
+def test_shuffle_files_of_tables_out_of_use_go(spark):
+    from trigrove.llm.common import cut, free
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    for _ in range(3):
+        before = files()
+        table = spark.range(0, 10_000, 1, 3).repartition(5, "id")
+        kept = cut(table)
+        mine = files() - before
+        held = spark._jvm.java.lang.ref.WeakReference(table._jdf)
+        del table
+        free(spark)
+        assert mine and held.refersTo(None)
+        until = time.monotonic() + 10  # the files go after it, by a thread of Spark's
+        while mine & files() and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not mine & files()
+        assert kept.count() == 10_000
+
+
 def test_classes_of_many_near_copies_need_few_pairs(spark, rng, monkeypatch):
     rows, body = [], prose(rng, 120).split(" ")
     for k in range(400):
