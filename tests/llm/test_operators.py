@@ -512,6 +512,31 @@ def test_classes_of_many_near_copies_need_few_pairs(spark, rng, monkeypatch):
         assert {r.doc_id: r.class_id for r in containment.near_groups(table(spark, rows), rules).collect()} == want
 
 
+def test_sets_apart_from_a_large_class_need_few_pairs(spark, rng, monkeypatch):
+    # copies of one text, of which many differ too much from the smallest one to be linked to it
+    body = prose(rng, 150).split(" ")
+    rows = []
+    for k in range(600):
+        w = list(body)
+        for _ in range(rng.randint(1, 13)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+        rows.append((100 + k, " ".join(w)))
+    rules = containment.ContainmentRules()
+    want = {i: c[0] for i, c in brute_near(rows, rules)[0].items()}
+    compared = []
+    verify = containment._verify
+    monkeypatch.setattr(containment, "_verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    docs = table(spark, rows)
+    assert {r.doc_id: r.class_id for r in containment.near_groups(docs, rules).collect()} == want
+    assert compared[-1] < 600
+    for around, block in ((1, 16), (4, 64)):
+        # where the few don't connect them, all their pairs are looked at
+        monkeypatch.setattr(containment, "_AROUND", around)
+        monkeypatch.setattr(containment, "_BEST", 1)
+        monkeypatch.setattr(containment, "_BLOCK", block)
+        assert {r.doc_id: r.class_id for r in containment.near_groups(docs, rules).collect()} == want
+
+
 def test_probes_find_what_they_must():
     rules = containment.ContainmentRules()
     for size in range(1, 129):
