@@ -93,3 +93,19 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("""SELECT normalize_text('Éa') AS n, flatten_json('{"a": {"b": "Ж"}}') AS f""").first()
     assert (row.n, row.f) == ("ea", {"a.b": "ж"})
+
+
+def test_a_batch_is_normalized_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from trigrove.functions import text
+
+    rows = [None, "", "Ünï", "x" * 300, "Étés " * 30, None, "ＡＢＣ"] * 9
+    held = []
+    pieces = text._pieces
+    monkeypatch.setattr(text, "_PIECE_BYTES", 200)
+    monkeypatch.setattr(text, "_pieces", lambda c: (held.append(p) or p for p in pieces(c)))
+    for column in (pa.array(rows, pa.string()), pa.array(rows, pa.string()).slice(3, 40), pa.array([], pa.string())):
+        held.clear()
+        assert text._normalize_other.func(column).to_pylist() == [None if s is None else text.normalize(s) for s in column.to_pylist()]
+        assert all(len(p) == 1 or sum(len((s or "").encode()) for s in p.to_pylist()) <= 200 for p in held) and sum(map(len, held)) == len(column)

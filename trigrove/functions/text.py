@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +24,25 @@ def normalize(s: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", s.lower())))
 
 
+#: Bytes of texts that are Python strings at once.
+_PIECE_BYTES = 1 << 20
+
+
+def _pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """The column in slices of at most so many bytes, or one row."""
+    total = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PIECE_BYTES, side="right")) - 1)
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
 @F.arrow_udf(T.StringType())
 def _normalize_other(column: pa.Array) -> pa.Array:
-    return pa.array([None if s is None else normalize(s) for s in column.to_pylist()], pa.string())
+    # a batch has many texts; only a piece of it is held as Python strings
+    parts = [pa.array([None if s is None else normalize(s) for s in x.to_pylist()], pa.string()) for x in _pieces(column)]
+    return pa.concat_arrays(parts) if parts else pa.nulls(0, pa.string())
 
 
 def normalized(c: Column | str) -> Column:
