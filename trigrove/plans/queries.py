@@ -399,14 +399,19 @@ def _items(spark, sf) -> list[list[dict]]:
 
 
 def _pages(spark, engine: Engine, **request) -> DataFrame:
-    """ext_id and matched_field of all hits, page after page."""
+    """ext_id and matched_field of all hits, page after page; what pages had is written, so only some of them are held."""
+    schema, folder = "ext_id string, matched_field string", f"{shared_folder(spark)}/pages"
     found, cursor = [], {}
     while True:
         page = engine.search(SearchRequest(cursor=cursor, **request))
         cursor = page["cursor"]
         found += [(h["ext_id"], h["matched_field"]) for h in page["hits"]]
-        if len(page["hits"]) < request["size"]:
-            return spark.createDataFrame(found, "ext_id string, matched_field string")
+        last = len(page["hits"]) < request["size"]
+        if last or len(found) >= 50_000:
+            spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(folder)
+            found = []
+        if last:
+            return spark.read.schema(schema).parquet(folder)
 
 
 @_query("search_pages", f"WITH {_D} SELECT ext_id, 'text' AS matched_field FROM d WHERE text LIKE '%ention%'")
