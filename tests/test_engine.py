@@ -368,3 +368,24 @@ def test_later_pages_read_no_segment_again(spark, tmp_path):
     # a cursor that isn't that of the last page gives the same page as before
     again = engine.search(SearchRequest("*needle*", size=2, cursor=pages[3]))
     assert again["hits"] == seen[8:10] and again["cursor"] == pages[4]
+
+
+def test_postings_are_made_once_and_their_files_follow_the_input(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    schema = "segment string, doc_id int, path string, gram string"
+    spark.createDataFrame([("s", k, "t", f"g{k % 40:02d}") for k in range(400)], schema).repartition(2).write.parquet(f"{tmp_path}/in")
+    rows = spark.read.parquet(f"{tmp_path}/in").mapInArrow(run, schema)
+    index.write_postings(rows, f"{tmp_path}/a", 3)
+    assert made.value == 400
+    monkeypatch.setattr(index, "_EACH", 1000)
+    index.write_postings(rows, f"{tmp_path}/b", 3)
+    few, many = (spark.read.parquet(f"{tmp_path}/{x}") for x in "ab")
+    assert len(few.inputFiles()) <= 3 < len(many.inputFiles())
+    assert sorted(few.collect()) == sorted(many.collect()) and many.count() == 400
+    assert many.select("gram", F.input_file_name().alias("file")).distinct().count() == 40

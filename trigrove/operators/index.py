@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from trigrove.functions.text import gram_rows
 
+#: Bytes of documents for each file of postings, which have several times as many.
+_EACH = 16 << 20
+
 
 def postings(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
     """segment, doc_id, path, gram: each distinct trigram of each field of stored documents; with ``only`` those that are among them."""
@@ -50,8 +53,15 @@ def prefilter(index: DataFrame, masks: DataFrame, grams: list[str], mode: str =
 
 
 def write_postings(index: DataFrame, path: str, partitions: int) -> None:
-    """Postings in order of trigram, so that row-group statistics let a look-up read only what holds its trigrams."""
-    index.repartitionByRange(partitions, "gram").sortWithinPartitions("gram", "segment", "doc_id").write.mode("errorifexists").parquet(path)
+    """Postings in order of trigram within each file, so that row-group statistics let a look-up read only what holds its trigrams.
+
+    All of a trigram are in one file. There are ``partitions`` files, or more if what ``index`` reads is large. They are chosen by a hash, since
+    ranges would have to be sampled, which makes all postings once more.
+    """
+    leaves = index._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # a plan whose size isn't known claims the greatest there is
+    index.repartition(max(partitions, -(-known // _EACH)), "gram").sortWithinPartitions("gram", "segment", "doc_id").write.mode("errorifexists").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, grams: list[str]) -> DataFrame:
